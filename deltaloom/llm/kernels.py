@@ -17,6 +17,7 @@ BYTE = _RANDOM.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
 PLACE = _RANDOM.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 2**64))
+HASH_BYTES = 1 << 21
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -40,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         while have < n:
             more = min(have, n - have)
             p[have : have + more] = p[:more] * step
-            have, step = have + more, step * step
+            have, step = have + more, U(int(step) * int(step) % 2**64)
         out.append(p)
     return out[0], out[1]
 
@@ -77,14 +78,24 @@ def words_of(texts: list[bytes], with_hashes: bool = True) -> Words:
     offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
     first = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
-    hashes = np.empty(0, U)
-    if with_hashes and len(starts):
+    return Words(buffer, _word_hashes(buffer, starts, ends) if with_hashes else np.empty(0, U), starts, ends, first, doc)
+
+
+def _word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words by stretches of about HASH_BYTES, so that the tables of powers stay small."""
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        upto = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, "right")))
+        part = buffer[base : ends[upto - 1]]
+        power, inverse = _powers(max(HASH_BYTES, len(part)))
         with np.errstate(over="ignore"):
-            size = 1 << int(len(buffer)).bit_length()
-            power, inverse = _powers(size)
-            total = np.concatenate((np.zeros(1, U), np.cumsum(BYTE[buffer] * power[: len(buffer)], dtype=U)))
-            hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
-    return Words(buffer, hashes, starts, ends, first, doc)
+            total = np.concatenate((np.zeros(1, U), np.cumsum(BYTE[part] * power[: len(part)], dtype=U)))
+            s, e = starts[at:upto] - base, ends[at:upto] - base
+            out[at:upto] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        at = upto
+    return out
 
 
 def in_doc_sums(flags: np.ndarray, texts: list[bytes]) -> np.ndarray:
