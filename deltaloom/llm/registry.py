@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import bpe, chat, quality, secrets, sharding
+from deltaloom.llm import bpe, chat, jaccard, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_lpt_sharding": sharding.op2_lpt_sharding,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_prefix_targets": chat.op7_prefix_targets,
     "op8_quality": quality.op8_quality,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLE = {
     "op1_secret_scan": secrets.ORACLE,
