@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaloom.functions import scalar
+from deltaloom.operators import dataflow, relational
 from deltaloom.plans import tpch
+from deltaloom.sources import formats
+from deltaloom.streaming import incremental, native
+
+SETS = [tpch.SET, relational.SET, scalar.SET, formats.SET, dataflow.SET, native.SET, incremental.SET]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(tpch.QUERIES)
+    return {name: fn for s in SETS for name, fn in s.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(tpch.ORACLE)
+    return {name: text for s in SETS for name, text in s.oracle.items()}
