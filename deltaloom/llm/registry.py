@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import bpe, chat, jaccard, quality, secrets, sharding, substrings
+from deltaloom.llm import bpe, chat, decontamination, jaccard, language_model, quality, secrets, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_lpt_sharding": sharding.op2_lpt_sharding,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_pitman_yor": language_model.op5_pitman_yor,
     "op6_bpe": bpe.op6_bpe,
     "op7_prefix_targets": chat.op7_prefix_targets,
     "op8_quality": quality.op8_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLE = {
