@@ -5,6 +5,9 @@ shingles. A pair of rows with similarity t or more shares a column among the fir
 row's n columns, for any one order of columns; taking rare columns first leaves few rows a column. The product is
 taken in blocks: a block holds some rows of each column (its hubs) against all rows of the column, pairs whose
 sizes or components rule them out are discarded, and what is left accumulates overlap counts over whole rows.
+The sizes are those of the sets, of their columns that no other row has, and the parities of 256 blocks of the
+other columns: a block of odd parity in the difference holds a column that only one row has, so
+J <= (n_a + n_b - d) / (n_a + n_b + d), where d counts those blocks and the columns of one row alone.
 Rows linked to a hub are of its component and need no more pairs with each other, so a large group of near copies
 costs one block; blocks go on with twice as many hubs until every column holds rows of one component only.
 
@@ -96,6 +99,17 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
+#: Names of the bound's columns: columns of no other row, and parities of 4 * 64 blocks of the rest.
+SIZES = ("alone", "p0", "p1", "p2", "p3")
+
+
+def _parities(keys: np.ndarray, doc: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """64 parity bits a text in each of four columns."""
+    block = (mix(keys) >> U(56)).astype(np.int64)
+    odd = (np.bincount(doc * 256 + block, minlength=n_docs * 256) & 1).astype(np.uint8).reshape(n_docs, 4, 64)
+    return [np.packbits(odd[:, j], axis=1).view(">i8").ravel().astype(np.int64) for j in range(4)]
+
+
 def _parts(corpus: Corpus, length: int, percent: int) -> DataFrame:
     """kind 0: doc_id, sig and n of each document; kind 1: sig, n, the columns of its prefix that other rows may
     share, and all columns, for each row that has such columns."""
@@ -117,18 +131,21 @@ def _parts(corpus: Corpus, length: int, percent: int) -> DataFrame:
         by_doc = np.split(mine[chosen].view(np.int64), np.searchsorted(doc[chosen], np.arange(1, len(sizes)))) if len(sizes) else []
         shared = [i for i in reps.tolist() if len(by_doc[i])]
         none, n = [None] * len(names), len(names)
+        several = level > 1
+        bounds = [np.bincount(doc[~several], minlength=n), *_parities(mine[several], doc[several], n)]
         yield pa.RecordBatch.from_pydict(
             {
                 "kind": pa.array([0] * n + [1] * len(shared), pa.int32()),
                 "doc_id": pa.concat_arrays([batch.id_column(), pa.array([None] * len(shared), pa.int64())]),
                 "sig": pa.array(names + [names[i] for i in shared], pa.binary()),
                 "n": pa.array([*sizes.tolist(), *sizes[shared].tolist()], pa.int64()),
+                **{c: pa.array([*none, *x[shared].tolist()], pa.int64()) for c, x in zip(SIZES, bounds, strict=True)},
                 "prefix": pa.array(none + [by_doc[i] for i in shared], pa.list_(pa.int64())),
                 "keys": pa.array(none + [pack(np.diff(keys[first[i] : first[i + 1]], prepend=U(0))) for i in shared], pa.binary()),
             }
         )
 
-    schema = "kind int, doc_id long, sig binary, n long, prefix array<long>, keys binary"
+    schema = "kind int, doc_id long, sig binary, n long, " + "".join(f"{c} long, " for c in SIZES) + "prefix array<long>, keys binary"
     return staged(corpus.map(rows, schema, ((answers, "u1"),)), "incidence", ["kind"])
 
 
@@ -172,20 +189,21 @@ def jaccard_components(docs: DataFrame, length: int = SHINGLE, percent: int = PE
         tasks, "sig"
     ).saveAsTable(sets_name)
     sets = spark.table(sets_name)
-    entries = staged(incident.select(F.explode("prefix").alias("column"), "sig", "n").distinct().withColumn("comp", F.col("sig")), "entries")
+    entries = staged(incident.select(F.explode("prefix").alias("column"), "sig", "n", *SIZES).distinct().withColumn("comp", F.col("sig")), "entries")
     links, tested, labels, hubs_a_column = None, None, None, 1
     while True:
-        open_columns = entries.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("n", "sig", "comp")).alias("hub")).filter("low <> high")
+        open_columns = entries.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("alone", "n", "sig")).alias("hub")).filter("low <> high")
         entries = staged(entries.join(open_columns.select("column", "hub"), "column"), "open")
         if not entries.take(1):
             break
         if hubs_a_column == 1:
             marked = entries.withColumn("is_hub", F.col("sig") == F.col("hub.sig"))
         else:  # few columns are left, none with a large group of one component alone
-            marked = entries.withColumn("is_hub", F.row_number().over(Window.partitionBy("column").orderBy("n", "sig")) <= hubs_a_column)
+            marked = entries.withColumn("is_hub", F.row_number().over(Window.partitionBy("column").orderBy("alone", "n", "sig")) <= hubs_a_column)
         marked = staged(marked.drop("hub"), "marked")
-        hubs = marked.filter("is_hub").select("column", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        near = f"sig <> hub AND comp <> hub_comp AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+        hubs = marked.filter("is_hub").select("column", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *[F.col(c).alias(f"hub_{c}") for c in SIZES])
+        differ = "(alone + hub_alone + " + " + ".join(f"bit_count({c} ^ hub_{c})" for c in SIZES[1:]) + ")"
+        near = f"sig <> hub AND comp <> hub_comp AND 100 * (n + hub_n - {differ}) >= {percent} * (n + hub_n + {differ})"
         pairs = marked.join(hubs, "column").filter(near).select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -199,7 +217,7 @@ def jaccard_components(docs: DataFrame, length: int = SHINGLE, percent: int = PE
         if found.take(1):
             links = found if links is None else links.union(found)
             labels = staged(components(links), "labels")
-            entries = entries.drop("comp").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("column", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+            entries = entries.drop("comp").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("column", "sig", "n", *SIZES, F.coalesce("component", "sig").alias("comp"))
         hubs_a_column *= 2
     return _answer(corpus, members, labels, sets_name)
 

@@ -50,6 +50,7 @@ def test_equals_brute_force(spark, tmp_path):
     docs = made(1)
     chain = [f"c{i}" for i in range(60)]
     docs += [(300 + k, " ".join(["x"] * 0 + [f"d{j}" if j < k else c for j, c in enumerate(chain)])) for k in range(8)]
+    docs += [(500 + k, " ".join(f"e{k}x{j}" if j in (k % 90, (k * 7) % 90) else f"b{j}" for j in range(90))) for k in range(40)]
     docs += [(400, None), (401, ""), (402, "a"), (403, "A"), (404, "a b"), (None, "a b"), (None, None), (5, docs[5][1]), (406, "z " * 20_000), (407, "z z z"), (408, "É é")]
     df = clashing(documents(spark, [t for _, t in docs], [i for i, _ in docs])).repartition(6)
     assert rows(jaccard.op10_jaccard_join(spark, saved(df, tmp_path))) == expected(docs)
