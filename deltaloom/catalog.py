@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.functions import scalar
-from deltaloom.operators import dataflow, relational
+from deltaloom.operators import dataflow, learning, relational, shapes
 from deltaloom.plans import tpch
-from deltaloom.sources import formats
+from deltaloom.sources import commands, external, formats
 from deltaloom.streaming import incremental, native
 
-SETS = [tpch.SET, relational.SET, scalar.SET, formats.SET, dataflow.SET, native.SET, incremental.SET]
+SETS = [tpch.SET, relational.SET, scalar.SET, formats.SET, commands.SET, external.SET, dataflow.SET, shapes.SET, learning.SET, native.SET, incremental.SET]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -91,7 +91,7 @@ def cogroup_in_pandas(spark, sf_dir):
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    """Customers and suppliers' nations as a small graph: orders link customers whose keys they share a digit sum with."""
+    """A small two-sided graph: the orders of every third key link a class of customers with a class of orders."""
     o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
     return o.select((F.col("o_custkey") % 60).alias("src"), (F.col("o_orderkey") % 61 + 60).alias("dst")).distinct()
 
