@@ -99,12 +99,6 @@ def st_update_mode(spark, sf_dir):
     return _last_versions(events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v")), ["user_id"])
 
 
-@SET.frame("st_session", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events) t) u GROUP BY user_id, s")
-def st_session(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "12 hours")).agg(F.count("*").alias("n"))
-    return out.select("user_id", F.col("session_window.start").alias("start"), "n")
-
-
 @SET.frame("st_stateful", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def st_stateful(spark, sf_dir):
     def count(key, parts, state):
