@@ -12,6 +12,9 @@ from deltaloom.sources.tables import table
 # Learned scores, near-duplicate groups and token ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
+#: Words in a shingle, and the least similarity in hundredths, of near duplicates; op10_jaccard_join has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
@@ -22,7 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near duplicates; repeated rows of it go as well."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))
