@@ -8,12 +8,10 @@ from deltaloom.plans.sqlset import SqlSet
 from deltaloom.sources.tables import table
 
 SET = SqlSet()
-SMALL = "(SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0)"
-ORD = "(SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 7 = 0)"
 for kind in ("INNER", "LEFT", "RIGHT", "FULL"):
-    SET.sql(f"join_{kind.lower()}", f"SELECT c_custkey, c_acctbal, o_orderkey, o_totalprice FROM {SMALL} c {kind} JOIN {ORD} o ON c_custkey = o_custkey")
-SET.sql("join_semi", f"SELECT c_custkey FROM {SMALL} c LEFT SEMI JOIN {ORD} o ON c_custkey = o_custkey", f"SELECT c_custkey FROM {SMALL} c WHERE EXISTS (SELECT 1 FROM {ORD} o WHERE c_custkey = o_custkey)")
-SET.sql("join_anti", f"SELECT c_custkey FROM {SMALL} c LEFT ANTI JOIN {ORD} o ON c_custkey = o_custkey", f"SELECT c_custkey FROM {SMALL} c WHERE NOT EXISTS (SELECT 1 FROM {ORD} o WHERE c_custkey = o_custkey)")
+    SET.sql(f"join_{kind.lower()}", f"SELECT c_custkey, c_acctbal, o_orderkey, o_totalprice FROM customer c {kind} JOIN orders o ON c_custkey = o_custkey")
+SET.sql("join_semi", "SELECT c_custkey FROM customer c LEFT SEMI JOIN orders o ON c_custkey = o_custkey", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE c_custkey = o_custkey)")
+SET.sql("join_anti", "SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON c_custkey = o_custkey", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE c_custkey = o_custkey)")
 SET.sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 SET.sql("join_theta", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
 SET.sql("join_theta_left", "SELECT a.s_suppkey AS a, count(b.s_suppkey) AS n FROM supplier a LEFT JOIN supplier b ON a.s_acctbal < b.s_acctbal - 5000 GROUP BY a.s_suppkey")
@@ -85,7 +83,7 @@ SET.sql("win_of_agg", "SELECT l_suppkey, CAST(rank() OVER (ORDER BY round(sum(l_
 NULLS = "(SELECT n_nationkey, nullif(n_regionkey, 2) AS k FROM nation)"
 for direction in ("ASC", "DESC"):
     for nulls in ("FIRST", "LAST"):
-        SET.sql(f"sort_{direction.lower()}_nulls_{nulls.lower()}", f"SELECT * FROM (SELECT n_nationkey, CAST(row_number() OVER (ORDER BY k {direction} NULLS {nulls}, n_nationkey) AS BIGINT) AS place FROM {NULLS}) t WHERE place <= 12")
+        SET.sql(f"sort_{direction.lower()}_nulls_{nulls.lower()}", f"SELECT n_nationkey, CAST(row_number() OVER (ORDER BY k {direction} NULLS {nulls}, n_nationkey) AS BIGINT) AS place FROM {NULLS} t")
 SET.sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 SET.sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
 SET.sql("limit_all", "SELECT r_name FROM region LIMIT ALL", "SELECT r_name FROM region")
@@ -123,8 +121,8 @@ SET.sql("filter_in_like_between", "SELECT p_partkey FROM part WHERE p_brand IN (
 SET.sql("project_case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, nullif(o_orderstatus, 'F') AS st FROM orders")
 SET.sql("values_inline", "SELECT a, b FROM VALUES (1, 'x'), (2, NULL) AS t(a, b)", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL)) AS t(a, b)")
 SET.sql("range_tvf", "SELECT id FROM range(3, 30, 4)", "SELECT range AS id FROM range(3, 30, 4)")
-SET.sql("lateral_explode", "SELECT vec_id, pos, col AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, col WHERE vec_id < 50",
-        "SELECT vec_id, CAST(i AS INT) AS pos, embedding[i + 1] AS x FROM embeddings, range(0, 3) r(i) WHERE vec_id < 50")
+SET.sql("lateral_explode", "SELECT vec_id, pos, col AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, col",
+        "SELECT vec_id, CAST(i - 1 AS INT) AS pos, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) t")
 
 
 @SET.frame("sample_rows")
