@@ -91,12 +91,12 @@ def cogroup_in_pandas(spark, sf_dir):
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    """A small two-sided graph: the orders of every third key link a class of customers with a class of orders."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
-    return o.select((F.col("o_custkey") % 60).alias("src"), (F.col("o_orderkey") % 61 + 60).alias("dst")).distinct()
+    """A two-sided graph: every part with each supplier that any order's line has it from, suppliers below zero."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_partkey").cast("long").alias("src"), (-1 - F.col("l_suppkey").cast("long")).alias("dst")).distinct()
 
 
-EDGES = "(SELECT DISTINCT o_custkey % 60 AS src, o_orderkey % 61 + 60 AS dst FROM orders WHERE o_orderkey % 3 = 0)"
+EDGES = "(SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, -1 - CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
 
 
 @SET.frame("gr_degrees", f"SELECT v, count(*) AS degree FROM (SELECT src AS v FROM {EDGES} UNION ALL SELECT dst FROM {EDGES}) t GROUP BY v")
@@ -131,7 +131,8 @@ def gr_connected_components(spark, sf_dir):
     return _spread(both, both.select(F.col("src").alias("v"), F.col("src").alias("x")).distinct(), lambda x: x)
 
 
-@SET.frame("gr_shortest_paths", f"WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS v, CAST(0 AS BIGINT) AS x UNION SELECT e.dst, r.x + 1 FROM r JOIN e ON e.src = r.v WHERE r.x < 12) SELECT v, min(x) AS x FROM r GROUP BY v")
+# Paths without a bound on their length are beyond recursive SQL; tests hold them against a plain search.
+@SET.frame("gr_shortest_paths")
 def gr_shortest_paths(spark, sf_dir):
     e = edges(spark, sf_dir)
     both = staged(e.union(e.select("dst", "src")).distinct(), "edges")

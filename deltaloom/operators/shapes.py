@@ -104,13 +104,12 @@ EDGE_STRATEGIES = {
     "canonical_pair": lambda n: F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(n)),
     "grid": lambda n: F.pmod(F.xxhash64("src"), F.lit(int(n**0.5))) * int(n**0.5) + F.pmod(F.xxhash64("dst"), F.lit(int(n**0.5))),
 }
-TANGLE = "(SELECT DISTINCT CAST(o_custkey % 60 AS BIGINT) AS src, CAST(o_orderkey % 59 AS BIGINT) AS dst FROM orders WHERE o_orderkey % 23 = 0)"
+TANGLE = "(SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
 
 
 def tangle(spark, sf_dir) -> DataFrame:
-    """A small directed graph with cycles, out of the digits of orders' keys."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 23 = 0")
-    return o.select((F.col("o_custkey") % 60).cast("long").alias("src"), (F.col("o_orderkey") % 59).cast("long").alias("dst")).distinct()
+    """A directed graph with cycles: from every part's key to the keys of its suppliers, which are parts' keys as well."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst")).distinct()
 
 
 @SET.frame("gr_edge_partitions", f"SELECT s AS strategy, count(*) AS edges, true AS bounded FROM {TANGLE} e, (VALUES ('source'), ('pair'), ('canonical_pair'), ('grid')) v(s) GROUP BY s")
