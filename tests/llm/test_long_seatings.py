@@ -1,0 +1,13 @@
+import numpy as np
+import pytest
+
+from deltaloom.llm import language_model as lm
+
+
+@pytest.mark.parametrize(("c", "f"), [(2049, 3000.0), (100_000, 20_000.0), (50_000, 2048.0), (50_000, 1.5)])
+def test_long_seatings_equal_those_one_by_one(c, f):
+    rng, t = np.random.default_rng(5), np.ones(64)
+    for i in range(1, c):
+        t += rng.random(64) < f / (f + i - lm.DISCOUNT * t)
+    got = lm.tables_drawn(np.full(64, c), np.full(64, f), lm.DISCOUNT, 1)
+    assert got.mean() == pytest.approx(t.mean(), rel=0.01 if f > 100 else 0.1)
