@@ -24,18 +24,27 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates; repeated rows of it go as well."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates: that of least doc_id, those without a doc_id last.
+
+    Rows are told apart by a staged key, not by doc_id: a row without a doc_id goes if it is a near copy of another
+    row, and of two different texts under one doc_id both stay. Rows without words are copies of nothing, but
+    repeated rows of one doc_id and text are one.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    named = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(groups.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "_row")
+    repeated = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~repeated, F.col("component_id")).alias("_group"), F.when(repeated, F.col("doc_id")).alias("_of"), F.when(repeated, F.col("_text")).alias("_as")]
+    first = named.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_text", "_row")).alias("_first"))
+    return rows.join(first.select("_first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaked = staged(found.select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Each text is judged by itself, whatever the doc_id of its row."""
+    key = F.sha2(F.col("text").cast("binary"), 256)
+    found = decontamination.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaked = staged(found.select(F.col("doc_id").alias("_text")).distinct(), "leaked")
+    return docs.withColumn("_text", key).join(leaked, "_text", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,24 @@ def test_near_duplicates_equal_brute_force(spark):
         least.setdefault(g, i)
     docs = documents(spark, texts).repartition(5)
     assert sorted(r["doc_id"] for r in pipeline.one_of_each_group(spark, docs, "").collect()) == sorted(least.values())
+
+
+def outcome(stage, docs, spark, sf=""):
+    return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, sf).collect()), key=repr)
+
+
+def test_near_duplicates_without_or_with_one_doc_id(spark):
+    a, b, c = (" ".join(f"{k}{j}" for j in range(40)) for k in "abc")
+    found = [(None, a), (3, a), (None, a + " more"), (None, b), (None, b), (7, c), (7, "quite another text than that"), (7, c), (8, ""), (8, ""), (8, None), (None, ""), (None, "")]
+    docs = documents(spark, [t for _, t in found], [i for i, _ in found]).repartition(3)
+    want = [(3, a), (None, b), (7, c), (7, "quite another text than that"), (8, ""), (8, None), (None, ""), (None, "")]
+    assert outcome(pipeline.one_of_each_group, docs, spark) == sorted(want, key=repr)
+
+
+def test_benchmark_passages_without_or_with_one_doc_id(spark, tmp_path):
+    item = "the seventh question asks which of the four rivers is the longest one of all"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = [(None, f"before {item} after"), (None, "clean text"), (None, None), (5, f"so {item}"), (5, "another clean text"), (6, ""), (6, item)]
+    docs = documents(spark, [t for _, t in found], [i for i, _ in found]).repartition(3)
+    want = [x for x in found if item not in (x[1] or "")]
+    assert outcome(pipeline.without_benchmark, docs, spark, str(tmp_path)) == sorted(want, key=repr)
