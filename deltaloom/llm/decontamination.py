@@ -3,31 +3,33 @@
 A passage of m characters with at most k edits keeps m - q + 1 - k * q of its q-grams, on diagonals (place in the
 text less place in the item) that differ by k at most. So shared q-grams are counted for each text and item in
 overlapping bands of diagonals twice k + 1 wide; bands that meet the bound are kept, and a banded alignment finds
-the least number of edits there. Items come in blocks, each a bounded list that goes with the scan of all texts.
+the least number of edits there. q is Q, or what leaves a bound of one for a short item: m / (k + 1); an item
+without edits that is shorter than Q is a q-gram itself. Items come in blocks of bounded bytes, and one scan of all
+texts takes BLOCKS_A_SCAN of them.
 
 Texts are compared in lower case, with runs of white space as one space, as UTF-8 bytes; edits count bytes.
 
-Defined results: a null text counts as empty; null items, and items under Q bytes, match nothing; items under 40
-bytes may have fewer edits than the budget, so that the bound stays above zero; repeated rows and
-items give a row each; empty tables give no rows; other columns are ignored.
+Defined results: a null text counts as empty; items that are null or only white space match nothing; texts of any
+length are taken whole; repeated rows and items give a row each; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from deltaloom.llm.kernels import U
 from deltaloom.session import ship_package
 from deltaloom.sources.tables import table
 
-#: Bytes in a q-gram (one machine word), edits in a hundred bytes, items in a block.
-Q, PERCENT, BLOCK_ITEMS = 8, 10, 4096
+#: Bytes in a q-gram at most (one machine word), edits in a hundred bytes, bytes of items in a block, blocks in a scan.
+Q, PERCENT, BLOCK_BYTES, BLOCKS_A_SCAN = 8, 10, 2 << 20, 8
 TABLE_BITS = 22
 
 
@@ -36,17 +38,28 @@ def normal(text: str | None) -> bytes:
 
 
 def budget(m: int, percent: int = PERCENT) -> int:
-    return max(0, min(m * percent // 100, m // Q - 1))
+    return m * percent // 100
 
 
-def grams(buffer: bytes) -> np.ndarray:
-    return np.ndarray((max(0, len(buffer) - Q + 1),), "<u8", buffer, 0, (1,)).astype(U) if len(buffer) >= Q else np.empty(0, U)
+def gram_bytes(m: int, percent: int = PERCENT) -> int:
+    """Bytes in the q-grams of an item of m bytes, so that a match shares one at least."""
+    return max(1, min(Q, m // (budget(m, percent) + 1)))
+
+
+def grams(buffer: bytes, q: int) -> np.ndarray:
+    """The q bytes from each place of a buffer on as a number."""
+    n = len(buffer) - q + 1
+    if n <= 0:
+        return np.empty(0, U)
+    code = np.ndarray((n,), "<u8", buffer + bytes(8 - q), 0, (1,)).astype(U)
+    return code if q == 8 else code & U((1 << 8 * q) - 1)
 
 
 @dataclass
 class Block:
-    """Items of a block and where each q-gram stands in them."""
+    """Items of one gram length and where each q-gram stands in them."""
 
+    q: int
     ids: list
     items: list[bytes]
     edits: np.ndarray
@@ -57,20 +70,36 @@ class Block:
     present: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple], percent: int) -> Block:
-        rows = [(i, normal(t)) for i, t in rows if t is not None]
-        rows = [(i, t) for i, t in rows if len(t) >= Q]
+    def of(cls, q: int, rows: list[tuple], percent: int) -> Block:
         items = [t for _, t in rows]
-        code = [grams(t) for t in items]
-        codes = np.concatenate(code) if code else np.empty(0, U)
+        code = [grams(t, q) for t in items]
+        codes = np.concatenate(code)
         item = np.repeat(np.arange(len(items)), [len(c) for c in code])
-        place = np.concatenate([np.arange(len(c)) for c in code]) if code else np.empty(0, np.int64)
+        place = np.concatenate([np.arange(len(c)) for c in code])
         order = np.argsort(codes, kind="stable")
         edits = np.array([budget(len(t), percent) for t in items], np.int64)
         sizes = np.array([len(t) for t in items], np.int64)
         present = np.zeros(1 << TABLE_BITS, bool)
         present[slot(codes)] = True
-        return cls([i for i, _ in rows], items, edits, sizes - Q + 1 - edits * Q, codes[order], item[order], place[order], present)
+        return cls(q, [i for i, _ in rows], items, edits, np.maximum(sizes - q + 1 - edits * q, 1), codes[order], item[order], place[order], present)
+
+
+def blocks_of(rows: Iterable[tuple], percent: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of at most block_bytes of items, or of one item."""
+    open_: dict[int, tuple[list, int]] = {}
+    for i, text in rows:
+        item = normal(text)
+        if not item:
+            continue
+        q = gram_bytes(len(item), percent)
+        mine, size = open_.get(q, ([], 0))
+        if mine and size + len(item) > block_bytes:
+            yield Block.of(q, mine, percent)
+            mine, size = [], 0
+        mine.append((i, item))
+        open_[q] = mine, size + len(item)
+    for q, (mine, _) in sorted(open_.items()):
+        yield Block.of(q, mine, percent)
 
 
 def slot(codes: np.ndarray) -> np.ndarray:
@@ -82,8 +111,8 @@ def regions(texts: list[bytes], block: Block) -> list[tuple[int, int, int]]:
     """Text, item, and first diagonal of each band that shares enough q-grams."""
     buffer = b"\0".join(texts) + b"\0"
     offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    code = grams(buffer)
-    at = np.flatnonzero(block.present[slot(code)]) if len(code) and len(block.codes) else np.empty(0, np.int64)
+    code = grams(buffer, block.q)
+    at = np.flatnonzero(block.present[slot(code)])
     low, high = np.searchsorted(block.codes, code[at], "left"), np.searchsorted(block.codes, code[at], "right")
     n = high - low
     at, low, n = at[n > 0], low[n > 0], n[n > 0]
@@ -139,28 +168,30 @@ def matches(texts: list[bytes], block: Block) -> list[tuple[int, int, int, int]]
     return [(d, i, e, end) for (d, i), (e, end) in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, edits and match_end (bytes of the normalized text): a row for each document and item in it."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, edits and match_end (bytes of the normalized text): a row for each document and item in it.
+
+    The driver holds the items, and a task those of one scan: BLOCKS_A_SCAN * block_bytes, if no item is longer."""
     ship_package(docs.sparkSession)
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, edits int, match_end long"
-    blocks = max(1, -(-benchmark.count() // block_items))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    ids = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {ids.simpleString()}, edits int, match_end long"
+    rows = (tuple(r) for r in benchmark.filter("text IS NOT NULL").select("item_id", "text").toLocalIterator())
+    blocks = list(blocks_of(rows, percent, block_bytes))
     out = None
-    for b in range(blocks):
-        block = Block.of([tuple(r) for r in benchmark.select("item_id", "text").filter(part == b).collect()], percent)
-        found = docs.select("doc_id", "text").mapInArrow(_scan(block, pa.field("item_id", pa.int64() if item_kind == "bigint" else pa.int32())), schema)
+    for at in range(0, max(1, len(blocks)), BLOCKS_A_SCAN):
+        found = docs.select("doc_id", "text").mapInArrow(_scan(blocks[at : at + BLOCKS_A_SCAN], to_arrow_type(ids)), schema)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _scan(block: Block, item_field: pa.Field):
+def _scan(blocks: list[Block], item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 part = whole.slice(at, 256)
-                found = matches([normal(t) for t in part.column(1).to_pylist()], block)
-                columns = [part.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([block.ids[f[1]] for f in found], item_field.type), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())]
+                texts = [normal(t) for t in part.column(1).to_pylist()]
+                found = [(d, block.ids[i], e, end) for block in blocks for d, i, e, end in matches(texts, block)]
+                columns = [part.column(0).take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[j] for f in found], t) for j, t in ((1, item_type), (2, pa.int32()), (3, pa.int64()))]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "edits", "match_end"])
 
     return run

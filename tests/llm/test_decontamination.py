@@ -16,14 +16,17 @@ def distance(item, text):
     return min(row)
 
 
+def plain(text):
+    return " ".join((text or "").lower().split()).encode()
+
+
 def expected(docs, items):
     out = []
     for d, t in docs:
         for i, x in items:
-            if x is None or len(dec.normal(x)) < dec.Q:
-                continue
-            e = distance(dec.normal(x), dec.normal(t))
-            if e <= dec.budget(len(dec.normal(x))):
+            item, text = plain(x), plain(t)
+            e = distance(item, text)
+            if item and 10 * e <= len(item):
                 out.append((d, i, e))
     return sorted(out, key=repr)
 
@@ -57,7 +60,7 @@ def test_equals_brute_force(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = rows(dec.contaminated(d, b).select("doc_id", "item_id", "edits"))
     assert got == expected(docs, items)
-    assert rows(dec.contaminated(d, b, block_items=3).select("doc_id", "item_id", "edits")) == got
+    assert rows(dec.contaminated(d, b, block_bytes=100).select("doc_id", "item_id", "edits")) == got
 
 
 def test_finds_exact_passages_of_the_corpus(spark, sf):
@@ -72,3 +75,24 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert rows(dec.contaminated(some, items)) == []
     assert rows(dec.contaminated(none, spark.createDataFrame([(1, "some item text")], "item_id long, text string"))) == []
+
+
+def test_short_items_and_their_budgets(spark):
+    rng = random.Random(9)
+    words = ["ab", "cde", "fg", "hijk", "é"]
+    items = [(str(n), "".join(rng.choice("abcdefgh ñ") for _ in range(n)) + "z") for n in (*range(0, 12), 18, 20, 23, 30, 31, 38, 39, 40, 41)]
+    docs = []
+    for k in range(120):
+        item = rng.choice(items)[1]
+        docs.append((k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) + " " + edited(rng, item, rng.choice([0, 0, 1, 2, 3, 4]))))
+    docs += [(500, "E = mc2"), (501, "see e = MC2 there")]
+    items.append(("x", "E = mc2"))
+    d, b = documents(spark, [t for _, t in docs], [i for i, _ in docs]), spark.createDataFrame(items, "item_id string, text string")
+    assert rows(dec.contaminated(d, b).select("doc_id", "item_id", "edits")) == expected(docs, items)
+
+
+def test_very_long_texts(spark):
+    item = "a passage of the benchmark that nobody may learn from"
+    docs = documents(spark, ["word " * 400_000 + item, "x" * 2_000_000, item * 2000], [1, 2, 3])
+    items = spark.createDataFrame([(7, item)], "item_id int, text string")
+    assert rows(dec.contaminated(docs, items).select("doc_id", "item_id", "edits")) == [(1, 7, 0), (3, 7, 0)]
