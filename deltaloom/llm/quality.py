@@ -1,7 +1,8 @@
 """Quality rules kept as a bitmask ledger.
 
-Every rule is evaluated once on each text; the ledger row holds the measurements and one failure bit a rule. A
-policy is a versioned mask of rules: applying one, or finding what each rule alone removes, reads the bits only.
+Every rule is evaluated once on each text; the ledger row holds the measurements and one failure bit a rule, and the
+ledger is stored as a table. A policy is a versioned mask of rules: applying one, or finding what each rule alone
+removes, reads the stored bits only and no text.
 
 Defined results: a null text counts as empty, and a text without words fails for too few words; repeated rows get
 a row each; an empty table gives no rows; columns other than the id and the text are ignored.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.kernels import by_doc, encoded, in_doc_sums, mix, spread, words_of
-from deltaloom.session import ship_package
+from deltaloom.session import ship_package, staged
 from deltaloom.sources.tables import table
 
 WINDOW = 8
@@ -115,6 +116,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("fail_bits", bits).withColumn("rules_version", F.lit(RULES_VERSION))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of all documents, written to the shared folder."""
+    return staged(ledger(docs), "quality-ledger")
+
+
 def passes(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0
 
@@ -135,14 +141,20 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents under the strict policy."""
-    rows = ledger(table(spark, sf_dir, "documents"))
+    """The stored ledger of all documents under the strict policy."""
+    rows = stored(table(spark, sf_dir, "documents"))
     failed = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["base"].mask)) != 0
     return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), passes(POLICIES["strict"]).alias("kept"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, from one stored ledger of all documents."""
+    rows = stored(table(spark, sf_dir, "documents"))
+    return ablations(rows, POLICIES["base"]).unionAll(ablations(rows, POLICIES["strict"]))
+
+
 _SPLIT = "list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
-ORACLE = f"""
+MEASURED = f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS copy, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, {_SPLIT} AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\x0B\\f\\r]')) AS lines FROM docs),
 windows AS (SELECT copy, i, array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ') AS w FROM split, range(1, greatest(1, len(words) - {WINDOW - 2})) AS r(i)),
@@ -154,8 +166,23 @@ measured AS (
          coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
          len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter
-  FROM split LEFT JOIN covered USING (copy))
+  FROM split LEFT JOIN covered USING (copy))"""
+ORACLE = f"""{MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        {" OR ".join(f"({fails})" for name, fails in RULES if name in BASE_RULES)} AS base_failed,
        NOT ({" OR ".join(f"({fails})" for _, fails in RULES)}) AS kept
 FROM measured"""
+
+
+def _ablation_sql(policy: Policy) -> str:
+    mine = [(name, fails) for name, fails in RULES if name in policy.rules]
+    any_ = lambda some: " OR ".join(f"({f})" for f in some) or "false"
+    return " UNION ALL ".join(
+        f"SELECT '{policy.name}' AS policy, {policy.version} AS version, '{name}' AS rule, count(*) FILTER ({fails}) AS n_fail, "
+        f"count(*) FILTER (({fails}) AND NOT ({any_(f for n, f in mine if n != name)})) AS n_only, "
+        f"count(*) FILTER (NOT ({any_(f for n, f in mine if n != name)})) AS n_kept_without FROM measured"
+        for name, fails in mine
+    )
+
+
+ABLATION_ORACLE = f"{MEASURED} " + " UNION ALL ".join(_ablation_sql(p) for p in POLICIES.values())
