@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from deltaloom.llm.kernels import encoded
 from deltaloom.session import shared_dir, ship_package, staged
 
-#: Bytes of text in a batch, and bytes of text for each bucket of keys.
-BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 48
-NO_ID = np.iinfo(np.int64).max  # stands for a missing id: smaller than none
+#: Bytes of text in a batch, bytes of text for each bucket of keys, and bytes of input for each task that reads batches.
+BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, MOST_TASKS = 4 << 20, 8 << 20, 48, 64 << 20, 1 << 20
 CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -44,11 +43,12 @@ def unpack(raw: bytes, n: int, kind: np.dtype) -> np.ndarray:
 
 @dataclass
 class Batch:
-    ids: np.ndarray  # NO_ID where there is none
+    ids: np.ndarray  # 0 where there is none
+    known: np.ndarray  # whether there is one
     texts: list[bytes]
 
     def id_column(self) -> pa.Array:
-        return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)
+        return pa.array(self.ids, pa.int64(), mask=~self.known)
 
 
 def _packed(ids: list, texts: list[bytes]) -> bytes:
@@ -61,8 +61,14 @@ def _packed(ids: list, texts: list[bytes]) -> bytes:
 
 def _unpacked(blob: bytes) -> Batch:
     table = pa.ipc.open_stream(blob).read_all()
-    ids = table.column("id").fill_null(NO_ID).to_numpy()
-    return Batch(ids.astype(np.int64), table.column("text").to_pylist())
+    ids = table.column("id").combine_chunks()
+    return Batch(ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_valid().to_numpy(zero_copy_only=False), bool), table.column("text").to_pylist())
+
+
+def reading_tasks(df: DataFrame) -> int:
+    """Tasks for a table made from df: spark.sql.shuffle.partitions, or more where the optimizer's size of df asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), MOST_TASKS) if size < 1 << 60 else 1)
 
 
 class Corpus:
@@ -92,19 +98,20 @@ class Corpus:
                 yield full()
 
         packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "batch long, bytes long, blob binary")
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = reading_tasks(docs)
         self.path = f"{shared_dir(spark)}/staged/{self.name}"
         packed.write.option("path", self.path).option("compression", "uncompressed").bucketBy(tasks, "batch").saveAsTable(self.name)
         self.table = spark.table(self.name)
         self.bytes = self.table.agg(F.sum("bytes")).first()[0] or 0
         self.buckets = max(LEAST_BUCKETS, -(-self.bytes // BUCKET_BYTES))
 
-    def map(self, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, answers: tuple[tuple[DataFrame, str], ...] = ()) -> DataFrame:
-        """fn(batch number, Batch, an array for each of answers) on every batch. answers: tables from ask() and kinds."""
+    def map(self, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, answers: tuple[tuple[DataFrame, str], ...] = (), how: str = "left") -> DataFrame:
+        """fn(batch number, Batch, an array for each of answers) on every batch; with how = inner on those with answers
+        alone. answers: tables from ask() and kinds."""
         joined = self.table.select("batch", "blob")
         for i, (rows, _) in enumerate(answers):
             mine = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "answer"))).alias(f"a{i}"))
-            joined = joined.join(mine.hint("shuffle_merge"), "batch", "left")
+            joined = joined.join(mine.hint("shuffle_merge"), "batch", how)
         kinds = [np.dtype(eval_kind(k)) for _, k in answers]
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +126,8 @@ class Corpus:
 
         return joined.mapInArrow(run, schema)
 
-    def ask(self, name: str, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64) -> DataFrame:
-        """question(Batch, arrays of answers) gives sorted distinct keys below 2**key_bits and a value each;
+    def ask(self, name: str, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64, how: str = "left") -> DataFrame:
+        """question(Batch, arrays of answers) gives sorted keys below 2**key_bits and a value each;
         reply(keys, values) of a bucket's entries gives an answer each and up to three totals. The result is staged."""
         n_buckets = self.buckets
         value_kind, answer_kind = np.dtype(eval_kind(value)), np.dtype(eval_kind(answer))
@@ -158,7 +165,7 @@ class Corpus:
                 }
             )
 
-        questions = self.map(asked, "batch long, bucket long, n long, keys binary, vals binary", answers)
+        questions = self.map(asked, "batch long, bucket long, n long, keys binary, vals binary", answers, how)
         replies = questions.groupBy("bucket").applyInArrow(answered, "batch long, bucket long, n long, answer binary, t0 double, t1 double, t2 double")
         return staged(replies, name)
 

@@ -242,3 +242,17 @@ def _answer(corpus: Corpus, members: DataFrame, labels: DataFrame | None, sets_n
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of similarity 0.9 over distinct 3-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS copy, doc_id,
+  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT copy, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS s
+  FROM docs, range(1, greatest(1, len(w) - {SHINGLE - 2}) + CASE WHEN len(w) BETWEEN 1 AND {SHINGLE - 1} THEN 1 ELSE 0 END) AS r(i)),
+sizes AS (SELECT copy, count(*) AS n FROM shingles GROUP BY copy),
+links AS (SELECT a.copy AS u, b.copy AS v FROM shingles a JOIN shingles b USING (s) JOIN sizes x ON x.copy = a.copy JOIN sizes y ON y.copy = b.copy
+  GROUP BY a.copy, b.copy, x.n, y.n HAVING 100 * count(*) >= {PERCENT} * (x.n + y.n - count(*))),
+reached(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON l.u = r.v),
+least AS (SELECT u AS copy, min(d.doc_id) AS component_id FROM reached r JOIN docs d ON d.copy = r.v GROUP BY u)
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, CASE WHEN sizes.n > 0 THEN component_id ELSE doc_id END AS component_id
+FROM docs LEFT JOIN sizes USING (copy) LEFT JOIN least USING (copy)"""

@@ -19,11 +19,15 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "quality_ablations": quality.quality_ablations,
 }
 ORACLE = {
     "op1_secret_scan": secrets.ORACLE,
+    "op4_substring_dedup": substrings.ORACLE,
     "op7_prefix_targets": chat.ORACLE,
     "op8_quality": quality.ORACLE,
+    "op10_jaccard_join": jaccard.ORACLE,
+    "quality_ablations": quality.ABLATION_ORACLE,
 }
 
 

@@ -1,15 +1,18 @@
 """Substring dedup by level-wise doubling.
 
 A window of words that occurs in two documents holds shorter windows that do. So the lengths are taken level by
-level: windows repeated at one length alone are extended to twice that length, until no candidates survive or the
-asked length is reached. The first level takes windows of 7 words, and of those only the anchors: in each window
-of 13 words the one of least hash. Equal windows of 13 words have equal anchors at the same place, so nothing is
-lost, and only a quarter of all places is sent.
-
-Windows are known by 64-bit hashes; n windows hold a false match with a probability of about n * n / 2**65.
-
-Defined results: a null text counts as empty; a document without a doc_id is later than all others; repeated rows
-are of one document, so they don't remove each other's words; an empty table gives no rows; other columns are ignored.
+level: windows repeated at one length alone are extended to twice that length, until no candidates survive. The first
+level takes windows of 7 words, and of those only the anchors: in each window of 13 words the one of least hash. Equal
+windows of 13 words have equal anchors at the same place, so nothing is lost, and only a quarter of all places is
+sent. The level of 13 decides which words go; those of 26, 52, ... extend its repeated windows, in the batches that
+still have any, to tell how long a document's longest repeated passage is.
+
+Anchors are known by 48 bits and only choose candidates. Windows are known by 128 bits, made from the 64-bit hashes
+of their words.
+
+Defined results: a null text counts as empty; a document without a doc_id is later than all others, and such documents
+don't remove each other's words; repeated rows are of one document, so they don't either; texts of any length are taken
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.exchange import Batch, Corpus, groups, pack
-from deltaloom.llm.kernels import U, Words, by_doc, spread, words_of
+from deltaloom.llm.kernels import PLACE, U, Words, by_doc, mix, spread, words_of
 from deltaloom.session import staged
 from deltaloom.sources.tables import table
 
@@ -45,23 +48,90 @@ def anchors(w: Words, length: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     return w.doc[:n] == w.doc[length - 1 :], least >> U(64 - ANCHOR_BITS)
 
 
-def _by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, least and greatest id of each, and the number of the group of each key."""
-    order, at, number = groups(keys)
+def windows(words: Words, base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes at each word of the window that starts there, and whether it lies in one text. length is base doubled
+    some times; the hashes of twice a length are made from those of its halves."""
+    key, _ = words.windows(base)
+    if not len(key):
+        return key, key, np.empty(0, bool)
+    with np.errstate(over="ignore"):
+        check = np.zeros(len(key), U)
+        for j in range(base):
+            check += mix(words.hashes[j : j + len(key)] ^ PLACE[255]) * PLACE[100 + j % 100]
+        have = base
+        while have < length:
+            n = max(0, len(key) - have)
+            key, check = (mix(h[:n] * PLACE[201] + mix(h[len(h) - n :] + U(have)) * PLACE[202]) for h in (key, check))
+            have *= 2
+    n = len(key)
+    return key, check, words.doc[:n] == words.doc[length - 1 : length - 1 + n]
+
+
+ENTRY = "low:i8,several:u1,unknown:u1,check:u8"
+
+
+def _ranks(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each document in the order of ids, those without one last and alike; and a document of each place."""
+    order = np.lexsort((batch.ids, ~batch.known))
+    ids, known = batch.ids[order], batch.known[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (known[1:] != known[:-1]) | (known[1:] & (ids[1:] != ids[:-1]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order[new]
+
+
+def _entries(batch: Batch, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order, what is asked of each, the number of the window at each place, and whether an earlier
+    document of the batch has it."""
+    out = np.empty(0, [tuple(x.split(":")) for x in ENTRY.split(",")])
+    if not len(key):
+        return key, out, np.empty(0, np.int64), np.empty(0, bool)
+    rank, where = _ranks(batch)
+    order = np.lexsort((check, key))
+    new = np.ones(len(key), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(check[order]) != 0)
+    at = np.flatnonzero(new)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    own = rank[doc]
+    low, high = np.minimum.reduceat(own[order], at), np.maximum.reduceat(own[order], at)
+    out = np.empty(len(at), out.dtype)
+    out["low"], out["unknown"], out["several"], out["check"] = batch.ids[where[low]], ~batch.known[where[low]], low != high, check[order][at]
+    return key[order][at], out, number, low[number] < own
+
+
+def _earlier(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray]:
+    """1: an entry's least document isn't the least of all with its window; 2: the window is in two documents; 3: both."""
     if not len(keys):
-        return keys, ids, ids, number
-    return keys[order][at], np.minimum.reduceat(ids[order], at), np.maximum.reduceat(ids[order], at), number
+        return (np.empty(0, np.uint8),)
+    order = np.lexsort((values["check"], keys))
+    new = np.ones(len(keys), bool)
+    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(values["check"][order]) != 0)
+    at = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    known, limits = values["unknown"] == 0, np.iinfo(np.int64)
+    low = np.minimum.reduceat(np.where(known, values["low"], limits.max)[order], at)
+    high = np.maximum.reduceat(np.where(known, values["low"], limits.min)[order], at)
+    some, all_ = np.maximum.reduceat(known[order], at), np.minimum.reduceat(known[order], at)
+    several = (np.maximum.reduceat(values["several"][order], at) > 0) | (some & ~all_) | (some & (low < high))
+    earlier = some[number] & (~known | (low[number] < values["low"]))
+    return (earlier.astype(np.uint8) + 2 * several[number].astype(np.uint8),)
 
 
 def _ask_anchors(batch: Batch, length: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     inside, key = anchors(words := words_of(batch.texts), length, first)
     at = np.flatnonzero(inside)
-    keys, low, high, _ = _by_key(key[at], batch.ids[words.doc[at]])
-    return keys, (low != high).astype(np.uint8)
+    order, start, _ = groups(key[at])
+    if not len(at):
+        return key[at], np.empty(0, np.uint8)
+    doc = words.doc[at][order]
+    return key[at][order][start], (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)).astype(np.uint8)
 
 
 def _repeated(keys: np.ndarray, several: np.ndarray) -> tuple[np.ndarray]:
-    """Entries whose key has an entry of another batch, or two documents in its own."""
+    """Entries whose key has an entry of another batch, or two rows in its own."""
     order, at, number = groups(keys)
     if not len(keys):
         return (several,)
@@ -69,49 +139,35 @@ def _repeated(keys: np.ndarray, several: np.ndarray) -> tuple[np.ndarray]:
     return ((np.maximum.reduceat(several[order], at) > 0) | (size > 1))[number],
 
 
-def _candidates(batch: Batch, words: Words, length: int, first: int, answer: np.ndarray) -> np.ndarray:
+def _candidates(words: Words, length: int, first: int, answer: np.ndarray) -> np.ndarray:
+    """Windows whose anchor is repeated."""
     inside, key = anchors(words, length, first)
     keys = np.unique(key[inside])
     out = inside.copy()
     if len(keys):
         out[inside] = answer[np.searchsorted(keys, key[inside])] > 0
-    return out
-
-
-def _ask_windows(batch: Batch, answer: np.ndarray, length: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    words = words_of(batch.texts)
-    at = np.flatnonzero(_candidates(batch, words, length, first, answer))
-    keys, low, high, _ = _by_key(words.windows(length)[0][at], batch.ids[words.doc[at]])
-    out = np.empty(len(keys), [("low", "i8"), ("several", "u1")])
-    out["low"], out["several"] = low, low != high
-    return keys, out
-
-
-def _earlier(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray]:
-    """1: the least id of an entry isn't the least of all with its key; 2: the key is in two documents; 3: both."""
-    order, at, number = groups(keys)
-    if not len(keys):
-        return (np.empty(0, np.uint8),)
-    low = np.minimum.reduceat(values["low"][order], at)
-    high = np.maximum.reduceat(values["low"][order], at)
-    several = (np.maximum.reduceat(values["several"][order], at) > 0) | (low != high)
-    return ((low[number] < values["low"]).astype(np.uint8) + 2 * several[number].astype(np.uint8),)
+    return np.flatnonzero(out)
 
 
 def _found(batch: Batch, a1: np.ndarray, a2: np.ndarray, length: int, first: int) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words, and for each window whether an earlier document has it and whether any other has."""
     words = words_of(batch.texts)
-    at = np.flatnonzero(_candidates(batch, words, length, first, a1))
-    ids = batch.ids[words.doc[at]]
-    _, low, _, number = _by_key(words.windows(length)[0][at], ids)
-    n = max(0, len(words.hashes) - length + 1)
-    earlier, shared = np.zeros(n, bool), np.zeros(n, bool)
+    at = _candidates(words, length, first, a1)
+    key, check, _ = windows(words, length, length)
+    _, _, number, before = _entries(batch, key[at], check[at], words.doc[at])
+    earlier, shared = np.zeros(len(key), bool), np.zeros(len(key), bool)
     if len(at):
-        earlier[at] = (a2[number] & 1 > 0) | (low[number] < ids)
+        earlier[at] = (a2[number] & 1 > 0) | before
         shared[at] = a2[number] & 2 > 0
     return words, earlier, shared
 
 
+def _wide(words: Words, marks: np.ndarray, length: int) -> np.ndarray:
+    """Places of windows of twice the length whose halves are both repeated."""
+    n = max(0, len(words.hashes) - 2 * length + 1)
+    return np.flatnonzero((marks[:n] > 0) & (marks[length : length + n] > 0) & (words.doc[:n] == words.doc[2 * length - 1 : 2 * length - 1 + n]))
+
+
 class RepeatedWindows:
     """The windows of a length that documents share, found on a packed corpus."""
 
@@ -121,16 +177,68 @@ class RepeatedWindows:
         self.length, self.first = length, first
         self.corpus = Corpus(docs)
         self.level1 = self.corpus.ask("anchors", lambda b: _ask_anchors(b, length, first), _repeated, "u1", "u1", key_bits=ANCHOR_BITS)
-        ask = lambda b, a: _ask_windows(b, a, length, first)
-        self.level2 = self.corpus.ask("windows", ask, _earlier, "low:i8,several:u1", "u1", ((self.level1, "u1"),))
+
+        def ask(batch: Batch, a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = words_of(batch.texts)
+            at = _candidates(words, length, first, a1)
+            key, check, _ = windows(words, length, length)
+            return _entries(batch, key[at], check[at], words.doc[at])[:2]
+
+        self.level2 = self.corpus.ask("windows", ask, _earlier, ENTRY, "u1", ((self.level1, "u1"),))
         self.answers = ((self.level1, "u1"), (self.level2, "u1"))
 
-    def removed(self, with_text: bool = False) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept_text."""
+    def longest(self) -> DataFrame:
+        """Answers of batches with the length of each document's longest repeated passage, in levels: the greatest of
+        length, 2 * length, ... at which a window of it is also in another document; 0 for none."""
+        corpus, base, first = self.corpus, self.length, self.first
+        schema = "batch long, bucket long, n long, answer binary, left long, docs long, reached binary"
+
+        def first_level(number: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
+            words, _, shared = _found(batch, a1, a2, base, first)
+            yield _level(number, words, shared, base, np.zeros(len(batch.texts), np.uint32))
+
+        levels = [staged(corpus.map(first_level, schema, self.answers), "level")]
+        length = base
+        while levels[-1].agg(F.sum("left")).first()[0]:
+            levels.append(self._double(levels[-1].filter("left > 0"), length, schema))
+            length *= 2
+        every = None
+        for i, rows in enumerate(levels):
+            mine = rows.select("batch", F.struct(F.lit(i).alias("i"), "docs", "reached").alias("r"))
+            every = mine if every is None else every.unionAll(mine)
+        return every.groupBy("batch").agg(F.max("r").alias("r")).select("batch", F.lit(0).cast("long").alias("bucket"), F.col("r.docs").alias("n"), F.col("r.reached").alias("answer"))
+
+    def _double(self, state: DataFrame, length: int, schema: str) -> DataFrame:
+        corpus, base, twice = self.corpus, self.length, 2 * length
+        marks, reached = (state, "u1"), (state.select("batch", "bucket", F.col("docs").alias("n"), F.col("reached").alias("answer")), "u4")
+
+        def entries(batch: Batch, words: Words, marks: np.ndarray) -> tuple:
+            at = _wide(words, marks, length)
+            key, check, _ = windows(words, base, twice)
+            return at, _entries(batch, key[at], check[at], words.doc[at])
+
+        def ask(batch: Batch, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return entries(batch, words_of(batch.texts), marks)[1][:2]
+
+        answers = corpus.ask(f"level-{twice}", ask, _earlier, ENTRY, "u1", (marks,), how="inner")
+
+        def next_level(number: int, batch: Batch, marks: np.ndarray, reached: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
+            words = words_of(batch.texts)
+            at, (_, _, which, _) = entries(batch, words, marks)
+            now = np.zeros(max(0, len(words.hashes) - twice + 1), bool)
+            if len(at):
+                now[at] = answer[which] & 2 > 0
+            yield _level(number, words, now, twice, reached)
+
+        # batches whose candidates are none have no answers; they are at their last level as they are
+        return staged(corpus.map(next_level, schema, (marks, reached, (answers, "u1")), how="inner"), "level")
+
+    def removed(self, with_text: bool = False, longest: DataFrame | None = None) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept_text and longest_repeat."""
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text + ["longest_repeat"] * (longest is not None)
         length, first = self.length, self.first
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
 
-        def rows(_: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(_: int, batch: Batch, a1: np.ndarray, a2: np.ndarray, *reached: np.ndarray) -> Iterator[pa.RecordBatch]:
             words, earlier, _ = _found(batch, a1, a2, length, first)
             gone = spread(np.flatnonzero(earlier), length, len(words.hashes))
             n_gone = by_doc(gone, words.first)
@@ -141,99 +249,59 @@ class RepeatedWindows:
                     own = compress(own, (~gone[words.first[i] : words.first[i + 1]]).tolist())
                 kept.append(b" ".join(own))
             columns = [batch.id_column(), pa.array(np.diff(words.first).astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array([k.decode("utf-8", "replace") for k in kept])] * with_text, names=names)
-
-        return self.corpus.map(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text, self.answers)
-
-    def longest(self) -> DataFrame:
-        """doc_id and longest: the greatest length among length, 2 * length, ... at which a window of the
-        document is also in another one; 0 for none. Levels go on until no candidates survive."""
-        corpus, asked, first = self.corpus, self.length, self.first
+            columns += [pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())] * with_text
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(r.astype(np.int64)) for r in reached], names=names)
 
-        def first_state(number: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words, _, shared = _found(batch, a1, a2, asked, first)
-            yield _state(number, batch, words, shared, asked, np.zeros(len(batch.texts), np.int64))
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + ", longest_repeat long" * (longest is not None)
+        return self.corpus.map(rows, schema, self.answers + (((longest, "u4"),) if longest is not None else ()))
 
-        schema = "batch long, bucket long, n long, answer binary, left long, docs binary"
-        state = staged(corpus.map(first_state, schema, self.answers), "level")
-        length = asked
-        while state.agg(F.sum("left")).first()[0]:
-            state, length = self._double(state, length, schema), 2 * length
-        return _lengths(state)
 
-    def _double(self, state: DataFrame, length: int, schema: str) -> DataFrame:
-        corpus, twice = self.corpus, 2 * length
-        marks = ((state, "u1"),)
-        seen = state.select("batch", "bucket", "docs", F.lit(0).alias("x"))
-
-        def wide(words: Words, shared: np.ndarray) -> np.ndarray:
-            h, inside = words.windows(twice)
-            return np.flatnonzero(inside & (shared[: len(h)] > 0) & (shared[length : length + len(h)] > 0)) if len(h) else np.empty(0, np.int64)
-
-        def ask(batch: Batch, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            words = words_of(batch.texts)
-            at = wide(words, shared)
-            keys, low, high, _ = _by_key(words.windows(twice)[0][at], batch.ids[words.doc[at]])
-            return keys, (low != high).astype(np.uint8)
-
-        answers = corpus.ask(f"level-{twice}", ask, _repeated, "u1", "u1", marks)
-
-        def next_state(number: int, batch: Batch, shared: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words = words_of(batch.texts)
-            at = wide(words, shared)
-            now = np.zeros(max(0, len(words.hashes) - twice + 1), bool)
-            if len(at):
-                key = words.windows(twice)[0][at]
-                now[at] = answer[np.searchsorted(np.unique(key), key)] > 0
-            yield _state(number, batch, words, now, twice, np.zeros(len(batch.texts), np.int64))
-
-        new = corpus.map(next_state, schema, (*marks, (answers, "u1")))
-        # a document that has no window of this length keeps the length that it had
-        return staged(new.join(seen.withColumnRenamed("docs", "was").drop("x"), ["batch", "bucket"]).select(*_merged_columns()), "level")
-
-
-def _state(number: int, batch: Batch, words: Words, shared: np.ndarray, length: int, was: np.ndarray) -> pa.RecordBatch:
-    """Marks of a level as an answer of one bucket, how many are left, and ids with the length each reached."""
+def _level(number: int, words: Words, shared: np.ndarray, length: int, was: np.ndarray) -> pa.RecordBatch:
+    """Marks of a level as an answer of one bucket, how many are left, and the length that each document reached."""
     marks = np.zeros(len(words.hashes) + 1, np.uint8)
     marks[: len(shared)] = shared
     hit = by_doc(marks[: len(words.hashes)], words.first) > 0
-    reached = np.where(hit, length, was).astype(np.int64)
+    reached = np.where(hit, length, was).astype(np.uint32)
     return pa.RecordBatch.from_pydict(
         {
             "batch": pa.array([number], pa.int64()), "bucket": pa.array([0], pa.int64()), "n": pa.array([len(marks)], pa.int64()),
             "answer": pa.array([pack(marks)], pa.binary()), "left": pa.array([int(marks.sum())], pa.int64()),
-            "docs": pa.array([np.stack([batch.ids, reached]).astype("<i8").tobytes()], pa.binary()),
+            "docs": pa.array([len(reached)], pa.int64()), "reached": pa.array([pack(reached)], pa.binary()),
         }
     )
 
 
-def _merged_columns() -> list:
-    @F.pandas_udf("binary")
-    def later(new, was):
-        import pandas as pd
-
-        out = []
-        for a, b in zip(new, was, strict=True):
-            x, y = (np.frombuffer(z, "<i8").reshape(2, -1) for z in (a, b))
-            out.append(np.stack([x[0], np.maximum(x[1], y[1])]).tobytes())
-        return pd.Series(out)
-
-    return ["batch", "bucket", "n", "answer", "left", later("docs", "was").alias("docs")]
-
-
-def _lengths(state: DataFrame) -> DataFrame:
-    def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in found:
-            for blob in part.column(0).to_pylist():
-                ids, reached = np.frombuffer(blob, "<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([Batch(ids, []).id_column(), pa.array(reached)], names=["doc_id", "longest"])
-
-    return state.select("docs").mapInArrow(rows, "doc_id long, longest long")
-
-
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the words that windows of 13 words in earlier documents cover."""
+    """All documents without the words that windows of 13 words in earlier documents cover, and the length of the
+    longest passage that each shares, in levels."""
     found = RepeatedWindows(table(spark, sf_dir, "documents"))
-    out = staged(found.removed(), "kept")
+    out = staged(found.removed(longest=found.longest()), "kept")
     found.corpus.close()
     return out
+
+
+def _levels_sql(levels: int) -> str:
+    """Each level numbers its shared windows; the next one joins two of them."""
+    out = []
+    for k in range(1, levels):
+        out.append(f"""pairs{k} AS (SELECT a.copy, a.doc, a.i, a.id AS x, b.id AS y FROM shared{k - 1} a JOIN shared{k - 1} b ON b.copy = a.copy AND b.i = a.i + {LENGTH << (k - 1)}),
+shared{k} AS (SELECT copy, doc, i, dense_rank() OVER (ORDER BY x, y) AS id FROM pairs{k} JOIN (SELECT x, y FROM pairs{k} GROUP BY x, y HAVING count(DISTINCT doc) > 1) USING (x, y)),""")
+    return "\n".join(out)
+
+
+#: Levels that the SQL takes: up to 13 * 2 ** 11 words.
+_SQL_LEVELS = 12
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS copy, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'none') AS doc,
+  list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT copy, i, w[i] AS word FROM docs, range(1, len(w) + 1) AS r(i)),
+windows AS (SELECT copy, doc_id, doc, i, array_to_string(list_slice(w, i, i + {LENGTH - 1}), ' ') AS k FROM docs, range(1, greatest(1, len(w) - {LENGTH - 2})) AS r(i)),
+found AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k HAVING count(DISTINCT doc) > 1),
+gone AS (SELECT DISTINCT copy, i + o AS i FROM windows JOIN found USING (k), range(0, {LENGTH}) AS r(o) WHERE low < coalesce(doc_id, low + 1)),
+shared0 AS (SELECT copy, doc, i, dense_rank() OVER (ORDER BY k) AS id FROM windows JOIN found USING (k)),
+{_levels_sql(_SQL_LEVELS)}
+longest AS (SELECT copy, max(n) AS n FROM ({" UNION ALL ".join(f"SELECT DISTINCT copy, {LENGTH << k} AS n FROM shared{k}" for k in range(_SQL_LEVELS))}) GROUP BY copy),
+kept AS (SELECT copy, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (copy, i) GROUP BY copy),
+removed AS (SELECT copy, count(*) AS n FROM gone GROUP BY copy)
+SELECT doc_id, len(w) AS n_words, coalesce(removed.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(longest.n, 0) AS longest_repeat
+FROM docs LEFT JOIN kept USING (copy) LEFT JOIN removed USING (copy) LEFT JOIN longest USING (copy)"""
