@@ -7,7 +7,7 @@ from deltaloom.llm import quality
 
 
 def test_a_second_policy_reads_no_text(spark, tmp_path):
-    texts = [None, "", "w " * 30, " ".join(map(str, range(40))), "WHY " * 3 + " ".join(map(str, range(60)))]
+    texts = [None, "", "w " * 30, " ".join(f"word{i}" for i in range(40)), "WHY " + " ".join(f"word{i}" for i in range(60))]
     documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     ledger = quality.stored(spark.read.parquet(f"{tmp_path}/documents.parquet"))
     shutil.rmtree(f"{tmp_path}/documents.parquet")
@@ -18,7 +18,7 @@ def test_a_second_policy_reads_no_text(spark, tmp_path):
 
 
 def test_ablations_of_repeated_rows_and_none(spark, tmp_path):
-    text = " ".join(map(str, range(40)))
+    text = " ".join(f"word{i}" for i in range(40))
     for name, df in (("some", documents(spark, [text, text, "x"], [1, 1, None])), ("none", documents(spark, []))):
         df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         c = duckdb.connect()
