@@ -19,7 +19,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(*toxicity.training_rows(docs, labels))
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
     return toxicity.scored(docs, model, "_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
 
 
