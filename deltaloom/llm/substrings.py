@@ -55,9 +55,9 @@ def windows(words: Words, base: int, length: int) -> tuple[np.ndarray, np.ndarra
     if not len(key):
         return key, key, np.empty(0, bool)
     with np.errstate(over="ignore"):
-        check = np.zeros(len(key), U)
+        check, other = np.zeros(len(key), U), mix(words.hashes ^ PLACE[255])
         for j in range(base):
-            check += mix(words.hashes[j : j + len(key)] ^ PLACE[255]) * PLACE[100 + j % 100]
+            check += other[j : j + len(key)] * PLACE[100 + j % 100]
         have = base
         while have < length:
             n = max(0, len(key) - have)
@@ -81,6 +81,19 @@ def _ranks(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     return rank, order[new]
 
 
+def _by_both(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key and check, the first place of each distinct pair in it, and the number of the pair at each place."""
+    order = np.argsort(key)
+    one, two = np.diff(key[order]) != 0, np.diff(check[order]) != 0
+    if (two & ~one).any():  # one key for two windows
+        order = np.lexsort((check, key))
+        one, two = np.diff(key[order]) != 0, np.diff(check[order]) != 0
+    new = np.concatenate(([True], one | two))
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
 def _entries(batch: Batch, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct windows in order, what is asked of each, the number of the window at each place, and whether an earlier
     document of the batch has it."""
@@ -88,12 +101,7 @@ def _entries(batch: Batch, key: np.ndarray, check: np.ndarray, doc: np.ndarray)
     if not len(key):
         return key, out, np.empty(0, np.int64), np.empty(0, bool)
     rank, where = _ranks(batch)
-    order = np.lexsort((check, key))
-    new = np.ones(len(key), bool)
-    new[1:] = (np.diff(key[order]) != 0) | (np.diff(check[order]) != 0)
-    at = np.flatnonzero(new)
-    number = np.empty(len(key), np.int64)
-    number[order] = np.cumsum(new) - 1
+    order, at, number = _by_both(key, check)
     own = rank[doc]
     low, high = np.minimum.reduceat(own[order], at), np.maximum.reduceat(own[order], at)
     out = np.empty(len(at), out.dtype)
@@ -105,12 +113,7 @@ def _earlier(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray]:
     """1: an entry's least document isn't the least of all with its window; 2: the window is in two documents; 3: both."""
     if not len(keys):
         return (np.empty(0, np.uint8),)
-    order = np.lexsort((values["check"], keys))
-    new = np.ones(len(keys), bool)
-    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(values["check"][order]) != 0)
-    at = np.flatnonzero(new)
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
+    order, at, number = _by_both(keys, np.ascontiguousarray(values["check"]))
     known, limits = values["unknown"] == 0, np.iinfo(np.int64)
     low = np.minimum.reduceat(np.where(known, values["low"], limits.max)[order], at)
     high = np.maximum.reduceat(np.where(known, values["low"], limits.min)[order], at)
@@ -191,16 +194,15 @@ class RepeatedWindows:
         """Answers of batches with the length of each document's longest repeated passage, in levels: the greatest of
         length, 2 * length, ... at which a window of it is also in another document; 0 for none."""
         corpus, base, first = self.corpus, self.length, self.first
-        schema = "batch long, bucket long, n long, answer binary, left long, docs long, reached binary"
 
         def first_level(number: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
             words, _, shared = _found(batch, a1, a2, base, first)
-            yield _level(number, words, shared, base, np.zeros(len(batch.texts), np.uint32))
+            yield _level(number, words, np.arange(len(batch.texts)), shared, base, np.zeros(len(batch.texts), np.uint32))
 
-        levels = [staged(corpus.map(first_level, schema, self.answers), "level")]
+        levels = [staged(corpus.map(first_level, LEVEL, self.answers), "level")]
         length = base
         while levels[-1].agg(F.sum("left")).first()[0]:
-            levels.append(self._double(levels[-1].filter("left > 0"), length, schema))
+            levels.append(self._double(levels[-1].filter("left > 0"), length))
             length *= 2
         every = None
         for i, rows in enumerate(levels):
@@ -208,30 +210,31 @@ class RepeatedWindows:
             every = mine if every is None else every.unionAll(mine)
         return every.groupBy("batch").agg(F.max("r").alias("r")).select("batch", F.lit(0).cast("long").alias("bucket"), F.col("r.docs").alias("n"), F.col("r.reached").alias("answer"))
 
-    def _double(self, state: DataFrame, length: int, schema: str) -> DataFrame:
+    def _double(self, state: DataFrame, length: int) -> DataFrame:
         corpus, base, twice = self.corpus, self.length, 2 * length
-        marks, reached = (state, "u1"), (state.select("batch", "bucket", F.col("docs").alias("n"), F.col("reached").alias("answer")), "u4")
+        part = lambda n, name: state.select("batch", "bucket", F.col(n).alias("n"), F.col(name).alias("answer"))
+        marks, alive, reached = (state, "u1"), (part("left", "alive"), "u4"), (part("docs", "reached"), "u4")
 
-        def entries(batch: Batch, words: Words, marks: np.ndarray) -> tuple:
+        def entries(batch: Batch, marks: np.ndarray, alive: np.ndarray) -> tuple:
+            words = words_of([batch.texts[i] for i in alive.tolist()])
             at = _wide(words, marks, length)
             key, check, _ = windows(words, base, twice)
-            return at, _entries(batch, key[at], check[at], words.doc[at])
+            return words, at, _entries(batch, key[at], check[at], alive[words.doc[at]])
 
-        def ask(batch: Batch, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return entries(batch, words_of(batch.texts), marks)[1][:2]
+        def ask(batch: Batch, marks: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return entries(batch, marks, alive)[2][:2]
 
-        answers = corpus.ask(f"level-{twice}", ask, _earlier, ENTRY, "u1", (marks,), how="inner")
+        answers = corpus.ask(f"level-{twice}", ask, _earlier, ENTRY, "u1", (marks, alive), how="inner")
 
-        def next_level(number: int, batch: Batch, marks: np.ndarray, reached: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words = words_of(batch.texts)
-            at, (_, _, which, _) = entries(batch, words, marks)
+        def next_level(number: int, batch: Batch, marks: np.ndarray, alive: np.ndarray, reached: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
+            words, at, (_, _, which, _) = entries(batch, marks, alive)
             now = np.zeros(max(0, len(words.hashes) - twice + 1), bool)
             if len(at):
                 now[at] = answer[which] & 2 > 0
-            yield _level(number, words, now, twice, reached)
+            yield _level(number, words, alive, now, twice, reached)
 
         # batches whose candidates are none have no answers; they are at their last level as they are
-        return staged(corpus.map(next_level, schema, (marks, reached, (answers, "u1")), how="inner"), "level")
+        return staged(corpus.map(next_level, LEVEL, (marks, alive, reached, (answers, "u1")), how="inner"), "level")
 
     def removed(self, with_text: bool = False, longest: DataFrame | None = None) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept_text and longest_repeat."""
@@ -256,16 +259,23 @@ class RepeatedWindows:
         return self.corpus.map(rows, schema, self.answers + (((longest, "u4"),) if longest is not None else ()))
 
 
-def _level(number: int, words: Words, shared: np.ndarray, length: int, was: np.ndarray) -> pa.RecordBatch:
-    """Marks of a level as an answer of one bucket, how many are left, and the length that each document reached."""
-    marks = np.zeros(len(words.hashes) + 1, np.uint8)
+#: A batch's state after a level: marks of the windows of documents that have any, which documents these are and how
+#: many, and the length that each document of the batch reached.
+LEVEL = "batch long, bucket long, n long, answer binary, left long, alive binary, docs long, reached binary"
+
+
+def _level(number: int, words: Words, docs: np.ndarray, shared: np.ndarray, length: int, was: np.ndarray) -> pa.RecordBatch:
+    """docs: the documents of the batch that words are of; was: the length that every document had reached."""
+    marks = np.zeros(len(words.hashes), np.uint8)
     marks[: len(shared)] = shared
-    hit = by_doc(marks[: len(words.hashes)], words.first) > 0
-    reached = np.where(hit, length, was).astype(np.uint32)
+    hit = by_doc(marks, words.first) > 0
+    reached, alive = was.astype(np.uint32), docs[hit].astype(np.uint32)
+    reached[alive] = length
+    marks = marks[hit[words.doc]] if len(marks) else marks
     return pa.RecordBatch.from_pydict(
         {
             "batch": pa.array([number], pa.int64()), "bucket": pa.array([0], pa.int64()), "n": pa.array([len(marks)], pa.int64()),
-            "answer": pa.array([pack(marks)], pa.binary()), "left": pa.array([int(marks.sum())], pa.int64()),
+            "answer": pa.array([pack(marks)], pa.binary()), "left": pa.array([len(alive)], pa.int64()), "alive": pa.array([pack(alive)], pa.binary()),
             "docs": pa.array([len(reached)], pa.int64()), "reached": pa.array([pack(reached)], pa.binary()),
         }
     )
