@@ -46,12 +46,17 @@ def gram_bytes(m: int, percent: int = PERCENT) -> int:
     return max(1, min(Q, m // (budget(m, percent) + 1)))
 
 
+def words8(buffer: bytes) -> np.ndarray:
+    """The eight bytes from each place of a buffer on as a number, zeros after its end."""
+    return np.ndarray((len(buffer),), "<u8", buffer + bytes(8), 0, (1,)).astype(U)
+
+
 def grams(buffer: bytes, q: int) -> np.ndarray:
-    """The q bytes from each place of a buffer on as a number."""
-    n = len(buffer) - q + 1
-    if n <= 0:
-        return np.empty(0, U)
-    code = np.ndarray((n,), "<u8", buffer + bytes(8 - q), 0, (1,)).astype(U)
+    """The q bytes from each place of a buffer on, as far as there are q, as a number."""
+    return cut(words8(buffer)[: max(0, len(buffer) - q + 1)], q)
+
+
+def cut(code: np.ndarray, q: int) -> np.ndarray:
     return code if q == 8 else code & U((1 << 8 * q) - 1)
 
 
@@ -107,11 +112,10 @@ def slot(codes: np.ndarray) -> np.ndarray:
         return ((codes * U(0x9E3779B97F4A7C15)) >> U(64 - TABLE_BITS)).astype(np.int64)
 
 
-def regions(texts: list[bytes], block: Block) -> list[tuple[int, int, int]]:
-    """Text, item, and first diagonal of each band that shares enough q-grams."""
-    buffer = b"\0".join(texts) + b"\0"
-    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    code = grams(buffer, block.q)
+def regions(code: np.ndarray, offsets: np.ndarray, block: Block) -> list[tuple[int, int, int]]:
+    """Text, item, and first diagonal of each band that shares enough q-grams. code: eight bytes from each place of the
+    texts, joined by a zero byte; offsets: where each text starts."""
+    code = cut(code, block.q)
     at = np.flatnonzero(block.present[slot(code)])
     low, high = np.searchsorted(block.codes, code[at], "left"), np.searchsorted(block.codes, code[at], "right")
     n = high - low
@@ -136,8 +140,9 @@ def regions(texts: list[bytes], block: Block) -> list[tuple[int, int, int]]:
     return [(int(p // len(block.items)), int(p % len(block.items)), int(c * (block.edits[p % len(block.items)] + 1) - longest)) for p, c in zip(pair[good], cells[good], strict=True)]
 
 
-def aligned(text: bytes, item: bytes, first: int, edits: int) -> tuple[int, int]:
-    """Least edits between the item and a stretch of text on the band's diagonals, and where such a stretch ends."""
+def aligned(text: bytes, item: bytes, first: int, edits: int, most: int) -> tuple[int, int]:
+    """Least edits between the item and a stretch of text on the band's diagonals, and where such a stretch ends; beyond
+    `most` edits, any number that is more. edits: the item's budget, which the band's width comes from."""
     low, high = first - edits, first + 2 * (edits + 1) + edits
     start = max(0, low)
     exact = text.find(item, start, max(0, high) + len(item))
@@ -152,20 +157,28 @@ def aligned(text: bytes, item: bytes, first: int, edits: int) -> tuple[int, int]
         step = row + (pad[i : i + width] != c)
         step[:-1] = np.minimum(step[:-1], row[1:] + 1)
         row = np.minimum.accumulate(step - steps) + steps
+        if i % 16 == 15 and row.min() > most:  # the least of a row never falls again
+            return most + 1, 0
     best = int(row.argmin())
     return int(row[best]), max(0, min(len(text), low + best + len(item)))
 
 
-def matches(texts: list[bytes], block: Block) -> list[tuple[int, int, int, int]]:
-    """Text, item, edits and end of the best match, for each text and item within the item's budget."""
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for d, i, first in regions(texts, block):
-        if best.get((d, i), (1, 0))[0] == 0:
-            continue
-        found = aligned(texts[d], block.items[i], first, int(block.edits[i]))
-        if found[0] <= block.edits[i] and ((d, i) not in best or found < best[d, i]):
-            best[d, i] = found
-    return [(d, i, e, end) for (d, i), (e, end) in best.items()]
+def matches(texts: list[bytes], blocks: list[Block]) -> list[tuple]:
+    """Text, item's id, edits and end of the best match, for each text and item within the item's budget."""
+    code = words8(b"\0".join(texts) + b"\0")
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    out = []
+    for block in blocks:
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for d, i, first in regions(code, offsets, block):
+            most = best.get((d, i), (int(block.edits[i]), 0))[0]
+            if (d, i) in best and not most:
+                continue
+            found = aligned(texts[d], block.items[i], first, int(block.edits[i]), most)
+            if found[0] <= most and ((d, i) not in best or found < best[d, i]):
+                best[d, i] = found
+        out += [(d, block.ids[i], e, end) for (d, i), (e, end) in best.items()]
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -190,7 +203,7 @@ def _scan(blocks: list[Block], item_type: pa.DataType):
             for at in range(0, len(whole), 256):
                 part = whole.slice(at, 256)
                 texts = [normal(t) for t in part.column(1).to_pylist()]
-                found = [(d, block.ids[i], e, end) for block in blocks for d, i, e, end in matches(texts, block)]
+                found = matches(texts, blocks)
                 columns = [part.column(0).take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[j] for f in found], t) for j, t in ((1, item_type), (2, pa.int32()), (3, pa.int64()))]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "edits", "match_end"])
 
