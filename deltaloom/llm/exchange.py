@@ -24,6 +24,7 @@ from deltaloom.session import shared_dir, ship_package, staged
 
 #: Bytes of text in a batch, bytes of text for each bucket of keys, and bytes of input for each task that reads batches.
 BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, MOST_TASKS = 4 << 20, 8 << 20, 48, 64 << 20, 1 << 20
+TOTALS = 4
 CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -128,7 +129,7 @@ class Corpus:
 
     def ask(self, name: str, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64, how: str = "left") -> DataFrame:
         """question(Batch, arrays of answers) gives sorted keys below 2**key_bits and a value each;
-        reply(keys, values) of a bucket's entries gives an answer each and up to three totals. The result is staged."""
+        reply(keys, values) of a bucket's entries gives an answer each and up to TOTALS totals. The result is staged."""
         n_buckets = self.buckets
         value_kind, answer_kind = np.dtype(eval_kind(value)), np.dtype(eval_kind(answer))
         edges = np.array([-(-(b << key_bits) // n_buckets) for b in range(1, n_buckets)], dtype=object).astype(np.uint64)
@@ -161,12 +162,12 @@ class Corpus:
                     "bucket": group.column("bucket"),
                     "n": group.column("n"),
                     "answer": pa.array([pack(found[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                    **{f"t{k}": pa.array([float(totals[k]) if k < len(totals) and not i else 0.0 for i in range(len(rows))], pa.float64()) for k in range(3)},
+                    **{f"t{k}": pa.array([float(totals[k]) if k < len(totals) and not i else 0.0 for i in range(len(rows))], pa.float64()) for k in range(TOTALS)},
                 }
             )
 
         questions = self.map(asked, "batch long, bucket long, n long, keys binary, vals binary", answers, how)
-        replies = questions.groupBy("bucket").applyInArrow(answered, "batch long, bucket long, n long, answer binary, t0 double, t1 double, t2 double")
+        replies = questions.groupBy("bucket").applyInArrow(answered, "batch long, bucket long, n long, answer binary, " + ", ".join(f"t{k} double" for k in range(TOTALS)))
         return staged(replies, name)
 
     def close(self) -> None:
@@ -182,7 +183,7 @@ def eval_kind(text: str):
 
 
 def totals(rows: DataFrame) -> list[float]:
-    r = rows.agg(*[F.coalesce(F.sum(f"t{k}"), F.lit(0.0)) for k in range(3)]).first()
+    r = rows.agg(*[F.coalesce(F.sum(f"t{k}"), F.lit(0.0)) for k in range(TOTALS)]).first()
     return list(r)
 
 
