@@ -9,6 +9,7 @@ of all rows hold doesn't make a hot group, and sorted keys pack into a few bytes
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -124,51 +125,26 @@ class Corpus:
                         parts = [unpack(x["answer"], x["n"], kind) for x in row.column(2 + j)[0].as_py() or []]
                         arrays.append(np.concatenate(parts) if parts else np.empty(0, kind))
                     yield from fn(row.column(0)[0].as_py(), _unpacked(row.column(1)[0].as_py()), *arrays)
+                    del row, arrays
+                    release()
 
         return joined.mapInArrow(run, schema)
 
     def ask(self, name: str, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64, how: str = "left") -> DataFrame:
         """question(Batch, arrays of answers) gives sorted keys below 2**key_bits and a value each;
         reply(keys, values) of a bucket's entries gives an answer each and up to TOTALS totals. The result is staged."""
-        n_buckets = self.buckets
-        value_kind, answer_kind = np.dtype(eval_kind(value)), np.dtype(eval_kind(answer))
-        edges = np.array([-(-(b << key_bits) // n_buckets) for b in range(1, n_buckets)], dtype=object).astype(np.uint64)
+        edges = self.edges(key_bits)
 
         def asked(number: int, batch: Batch, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-            keys, values = question(batch, *arrays)
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            some = [(b, i, j) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            if some:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "batch": pa.array([number] * len(some), pa.int64()),
-                        "bucket": pa.array([b for b, _, _ in some], pa.int64()),
-                        "n": pa.array([j - i for _, i, j in some], pa.int64()),
-                        "keys": pa.array([pack(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in some], pa.binary()),
-                        "vals": pa.array([pack(values[i:j]) for _, i, j in some], pa.binary()),
-                    }
-                )
-
-        def answered(group: pa.Table) -> pa.Table:
-            rows = group.to_pylist()
-            keys = np.concatenate([np.cumsum(unpack(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
-            values = np.concatenate([unpack(r["vals"], r["n"], value_kind) for r in rows])
-            found, *totals = reply(keys, values)
-            found = np.ascontiguousarray(found.astype(answer_kind))
-            cuts = np.cumsum([0, *[r["n"] for r in rows]])
-            return pa.table(
-                {
-                    "batch": group.column("batch"),
-                    "bucket": group.column("bucket"),
-                    "n": group.column("n"),
-                    "answer": pa.array([pack(found[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                    **{f"t{k}": pa.array([float(totals[k]) if k < len(totals) and not i else 0.0 for i in range(len(rows))], pa.float64()) for k in range(TOTALS)},
-                }
-            )
-
-        questions = self.map(asked, "batch long, bucket long, n long, keys binary, vals binary", answers, how)
-        replies = questions.groupBy("bucket").applyInArrow(answered, "batch long, bucket long, n long, answer binary, " + ", ".join(f"t{k} double" for k in range(TOTALS)))
-        return staged(replies, name)
+            rows = packed_question(number, *question(batch, *arrays), edges)
+            if len(rows["batch"]):
+                yield pa.RecordBatch.from_pydict(rows)
+
+        return replied(self.map(asked, QUESTION, answers, how), name, reply, value, answer)
+
+    def edges(self, key_bits: int) -> np.ndarray:
+        """The least key of each bucket but the first."""
+        return np.array([-(-(b << key_bits) // self.buckets) for b in range(1, self.buckets)], dtype=object).astype(np.uint64)
 
     def close(self) -> None:
         """Drop the table; only its results may be read from now on."""
@@ -177,6 +153,59 @@ class Corpus:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+QUESTION = "batch long, bucket long, n long, keys binary, vals binary"
+
+
+def packed_question(number: int, keys: np.ndarray, values: np.ndarray, edges: np.ndarray) -> dict[str, pa.Array]:
+    """The columns of QUESTION: a row for each bucket that the batch has keys of."""
+    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    some = [(b, i, j) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+    return {
+        "batch": pa.array([number] * len(some), pa.int64()),
+        "bucket": pa.array([b for b, _, _ in some], pa.int64()),
+        "n": pa.array([j - i for _, i, j in some], pa.int64()),
+        "keys": pa.array([pack(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in some], pa.binary()),
+        "vals": pa.array([pack(values[i:j]) for _, i, j in some], pa.binary()),
+    }
+
+
+def replied(questions: DataFrame, name: str, reply: Callable, value: str, answer: str) -> DataFrame:
+    """Each bucket's entries of all batches answered by one call of reply; staged."""
+    value_kind, answer_kind = np.dtype(eval_kind(value)), np.dtype(eval_kind(answer))
+
+    def answered(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
+        values = np.concatenate([unpack(r["vals"], r["n"], value_kind) for r in rows])
+        found, *totals = reply(keys, values)
+        found = np.ascontiguousarray(found.astype(answer_kind))
+        cuts = np.cumsum([0, *[r["n"] for r in rows]])
+        out = pa.table(
+            {
+                "batch": group.column("batch"),
+                "bucket": group.column("bucket"),
+                "n": group.column("n"),
+                "answer": pa.array([pack(found[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                **{f"t{k}": pa.array([float(totals[k]) if k < len(totals) and not i else 0.0 for i in range(len(rows))], pa.float64()) for k in range(TOTALS)},
+            }
+        )
+        del rows, keys, values, found
+        release()
+        return out
+
+    replies = questions.groupBy("bucket").applyInArrow(answered, "batch long, bucket long, n long, answer binary, " + ", ".join(f"t{k} double" for k in range(TOTALS)))
+    return staged(replies, name)
+
+
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine, which the executor's limit counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def eval_kind(text: str):
     """'u1', or fields as 'c:u4,r:u2'."""
     return [tuple(x.split(":")) for x in text.split(",")] if ":" in text else text

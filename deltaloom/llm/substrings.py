@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.exchange import Batch, Corpus, groups, pack
+from deltaloom.llm.exchange import Batch, Corpus, groups, pack, packed_question, replied, unpack
 from deltaloom.llm.kernels import PLACE, U, Words, by_doc, mix, spread, words_of
 from deltaloom.session import staged
 from deltaloom.sources.tables import table
@@ -145,10 +145,9 @@ def _repeated(keys: np.ndarray, several: np.ndarray) -> tuple[np.ndarray]:
 def _candidates(words: Words, length: int, first: int, answer: np.ndarray) -> np.ndarray:
     """Windows whose anchor is repeated."""
     inside, key = anchors(words, length, first)
-    keys = np.unique(key[inside])
     out = inside.copy()
-    if len(keys):
-        out[inside] = answer[np.searchsorted(keys, key[inside])] > 0
+    if len(answer):
+        out[inside] = answer[np.unique(key[inside], return_inverse=True)[1]] > 0
     return np.flatnonzero(out)
 
 
@@ -190,102 +189,121 @@ class RepeatedWindows:
         self.level2 = self.corpus.ask("windows", ask, _earlier, ENTRY, "u1", ((self.level1, "u1"),))
         self.answers = ((self.level1, "u1"), (self.level2, "u1"))
 
-    def longest(self) -> DataFrame:
-        """Answers of batches with the length of each document's longest repeated passage, in levels: the greatest of
-        length, 2 * length, ... at which a window of it is also in another document; 0 for none."""
-        corpus, base, first = self.corpus, self.length, self.first
+    def removed(self) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 and kept_text."""
+        length, first = self.length, self.first
+
+        def rows(_: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
+            words, earlier, _ = _found(batch, a1, a2, length, first)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.id_column(), **_kept(batch, words, earlier, length, True)})
+
+        return self.corpus.map(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", self.answers)
+
+    def with_longest(self) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 and longest_repeat: the greatest of length, 2 * length, ... at which
+        a window of the document is also in another one, 0 for none.
+
+        A pass over the batches gives the marks of a level and asks for the next one; it reads the batches, and of these
+        the documents, that still have repeated windows."""
+        corpus, base, first, edges = self.corpus, self.length, self.first, self.corpus.edges(64)
 
         def first_level(number: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words, _, shared = _found(batch, a1, a2, base, first)
-            yield _level(number, words, np.arange(len(batch.texts)), shared, base, np.zeros(len(batch.texts), np.uint32))
+            words, earlier, shared = _found(batch, a1, a2, base, first)
+            yield _rows(2, {"batch": pa.array([number] * len(batch.texts), pa.int64()), "bucket": pa.array(range(len(batch.texts)), pa.int64()), "doc_id": batch.id_column(), **_kept(batch, words, earlier, base, False)})
+            yield from _level(number, batch, words, np.arange(len(batch.texts)), shared, base, base, np.zeros(len(batch.texts), np.uint32), edges)
 
-        levels = [staged(corpus.map(first_level, LEVEL, self.answers), "level")]
+        levels = [staged(corpus.map(first_level, LEVEL, self.answers), "level", ["kind"])]
         length = base
-        while levels[-1].agg(F.sum("left")).first()[0]:
-            levels.append(self._double(levels[-1].filter("left > 0"), length))
+        while levels[-1].filter("kind = 1").take(1):
+            levels.append(self._double(levels[-1], length, edges))
             length *= 2
         every = None
         for i, rows in enumerate(levels):
-            mine = rows.select("batch", F.struct(F.lit(i).alias("i"), "docs", "reached").alias("r"))
+            mine = rows.filter("kind = 0").select("batch", F.struct(F.lit(i).alias("i"), "docs", "reached").alias("r"))
             every = mine if every is None else every.unionAll(mine)
-        return every.groupBy("batch").agg(F.max("r").alias("r")).select("batch", F.lit(0).cast("long").alias("bucket"), F.col("r.docs").alias("n"), F.col("r.reached").alias("answer"))
+        last = every.groupBy("batch").agg(F.max("r").alias("r")).select("batch", "r.docs", "r.reached").mapInArrow(_reached, "batch long, bucket long, longest_repeat long")
+        return levels[0].filter("kind = 2").join(last, ["batch", "bucket"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
 
-    def _double(self, state: DataFrame, length: int) -> DataFrame:
-        corpus, base, twice = self.corpus, self.length, 2 * length
+    def _double(self, level: DataFrame, length: int, edges: np.ndarray) -> DataFrame:
+        answers = replied(level.filter("kind = 1").select("batch", "bucket", "n", "keys", "vals"), "answers", _earlier, ENTRY, "u1")
+        state, base, twice = level.filter("kind = 0 AND left > 0"), self.length, 2 * length
         part = lambda n, name: state.select("batch", "bucket", F.col(n).alias("n"), F.col(name).alias("answer"))
-        marks, alive, reached = (state, "u1"), (part("left", "alive"), "u4"), (part("docs", "reached"), "u4")
 
-        def entries(batch: Batch, marks: np.ndarray, alive: np.ndarray) -> tuple:
+        def next_level(number: int, batch: Batch, marks: np.ndarray, alive: np.ndarray, reached: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
             words = words_of([batch.texts[i] for i in alive.tolist()])
-            at = _wide(words, marks, length)
-            key, check, _ = windows(words, base, twice)
-            return words, at, _entries(batch, key[at], check[at], alive[words.doc[at]])
+            at, (_, _, which, _) = _next(batch, words, alive, marks, base, length)
+            now = np.zeros(max(0, len(words.hashes) - twice + 1), bool)
+            now[at] = answer[which] & 2 > 0
+            yield from _level(number, batch, words, alive, now, base, twice, reached, edges)
 
-        def ask(batch: Batch, marks: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return entries(batch, marks, alive)[2][:2]
+        # batches that had nothing to ask have no answers; they stay at the level they reached
+        return staged(self.corpus.map(next_level, LEVEL, ((part("n", "marks"), "u1"), (part("left", "alive"), "u4"), (part("docs", "reached"), "u4"), (answers, "u1")), how="inner"), "level", ["kind"])
 
-        answers = corpus.ask(f"level-{twice}", ask, _earlier, ENTRY, "u1", (marks, alive), how="inner")
 
-        def next_level(number: int, batch: Batch, marks: np.ndarray, alive: np.ndarray, reached: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words, at, (_, _, which, _) = entries(batch, marks, alive)
-            now = np.zeros(max(0, len(words.hashes) - twice + 1), bool)
-            if len(at):
-                now[at] = answer[which] & 2 > 0
-            yield _level(number, words, alive, now, twice, reached)
+def _kept(batch: Batch, words: Words, earlier: np.ndarray, length: int, with_text: bool) -> dict[str, pa.Array]:
+    gone = spread(np.flatnonzero(earlier), length, len(words.hashes))
+    n_gone = by_doc(gone, words.first)
+    kept = []
+    for i, text in enumerate(batch.texts):
+        own = text.split()
+        if n_gone[i]:
+            own = compress(own, (~gone[words.first[i] : words.first[i + 1]]).tolist())
+        kept.append(b" ".join(own))
+    out = {"n_words": pa.array(np.diff(words.first).astype(np.int64)), "n_removed": pa.array(n_gone.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+    return out | ({"kept_text": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())} if with_text else {})
 
-        # batches whose candidates are none have no answers; they are at their last level as they are
-        return staged(corpus.map(next_level, LEVEL, (marks, alive, reached, (answers, "u1")), how="inner"), "level")
 
-    def removed(self, with_text: bool = False, longest: DataFrame | None = None) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept_text and longest_repeat."""
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text + ["longest_repeat"] * (longest is not None)
-        length, first = self.length, self.first
+#: Kind 0, a batch's state after a level: marks of the windows of documents that have any, which documents these are and
+#: how many, and the length that each document of the batch reached. Kind 1: what is asked for the next level. Kind 2: a
+#: document's result of the first one, bucket being its place in the batch.
+LEVEL_COLUMNS = {
+    "kind": pa.int32(), "batch": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "marks": pa.binary(), "left": pa.int64(), "alive": pa.binary(), "docs": pa.int64(), "reached": pa.binary(),
+    "keys": pa.binary(), "vals": pa.binary(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
+}
+LEVEL = ", ".join(f"{c} { {'int32': 'int', 'int64': 'long', 'binary': 'binary', 'string': 'string'}[str(t)] }" for c, t in LEVEL_COLUMNS.items())
 
-        def rows(_: int, batch: Batch, a1: np.ndarray, a2: np.ndarray, *reached: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words, earlier, _ = _found(batch, a1, a2, length, first)
-            gone = spread(np.flatnonzero(earlier), length, len(words.hashes))
-            n_gone = by_doc(gone, words.first)
-            kept = []
-            for i, text in enumerate(batch.texts):
-                own = text.split()
-                if n_gone[i]:
-                    own = compress(own, (~gone[words.first[i] : words.first[i + 1]]).tolist())
-                kept.append(b" ".join(own))
-            columns = [batch.id_column(), pa.array(np.diff(words.first).astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            columns += [pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(r.astype(np.int64)) for r in reached], names=names)
 
-        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + ", longest_repeat long" * (longest is not None)
-        return self.corpus.map(rows, schema, self.answers + (((longest, "u4"),) if longest is not None else ()))
+def _rows(kind: int, found: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(found["batch"])
+    found = found | {"kind": pa.array([kind] * n, pa.int32())}
+    return pa.RecordBatch.from_pydict({c: found.get(c, pa.nulls(n, t)) for c, t in LEVEL_COLUMNS.items()})
 
 
-#: A batch's state after a level: marks of the windows of documents that have any, which documents these are and how
-#: many, and the length that each document of the batch reached.
-LEVEL = "batch long, bucket long, n long, answer binary, left long, alive binary, docs long, reached binary"
+def _next(batch: Batch, words: Words, docs: np.ndarray, marks: np.ndarray, base: int, length: int) -> tuple:
+    """Places of the candidates of twice the length, and their entries. docs: the documents of the batch that words are of."""
+    at = _wide(words, marks, length)
+    key, check, _ = windows(words, base, 2 * length)
+    return at, _entries(batch, key[at], check[at], docs[words.doc[at]])
 
 
-def _level(number: int, words: Words, docs: np.ndarray, shared: np.ndarray, length: int, was: np.ndarray) -> pa.RecordBatch:
-    """docs: the documents of the batch that words are of; was: the length that every document had reached."""
+def _level(number: int, batch: Batch, words: Words, docs: np.ndarray, shared: np.ndarray, base: int, length: int, was: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """was: the length that every document had reached."""
     marks = np.zeros(len(words.hashes), np.uint8)
     marks[: len(shared)] = shared
     hit = by_doc(marks, words.first) > 0
     reached, alive = was.astype(np.uint32), docs[hit].astype(np.uint32)
     reached[alive] = length
-    marks = marks[hit[words.doc]] if len(marks) else marks
-    return pa.RecordBatch.from_pydict(
-        {
-            "batch": pa.array([number], pa.int64()), "bucket": pa.array([0], pa.int64()), "n": pa.array([len(marks)], pa.int64()),
-            "answer": pa.array([pack(marks)], pa.binary()), "left": pa.array([len(alive)], pa.int64()), "alive": pa.array([pack(alive)], pa.binary()),
-            "docs": pa.array([len(reached)], pa.int64()), "reached": pa.array([pack(reached)], pa.binary()),
-        }
-    )
+    left = marks[hit[words.doc]] if len(marks) else marks
+    state = {"batch": [number], "bucket": [0], "n": [len(left)], "left": [len(alive)], "docs": [len(reached)], "marks": [pack(left)], "alive": [pack(alive)], "reached": [pack(reached)]}
+    yield _rows(0, {c: pa.array(x, LEVEL_COLUMNS[c]) for c, x in state.items()})
+    if len(alive):
+        asked = packed_question(number, *_next(batch, words, docs, marks, base, length)[1][:2], edges)
+        if len(asked["batch"]):
+            yield _rows(1, asked)
+
+
+def _reached(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in found:
+        for row in part.to_pylist():
+            n = row["docs"]
+            yield pa.RecordBatch.from_pydict({"batch": pa.array([row["batch"]] * n, pa.int64()), "bucket": pa.array(range(n), pa.int64()), "longest_repeat": pa.array(unpack(row["reached"], n, "u4").astype(np.int64))})
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words that windows of 13 words in earlier documents cover, and the length of the
     longest passage that each shares, in levels."""
     found = RepeatedWindows(table(spark, sf_dir, "documents"))
-    out = staged(found.removed(longest=found.longest()), "kept")
+    out = staged(found.with_longest(), "kept")
     found.corpus.close()
     return out
 
