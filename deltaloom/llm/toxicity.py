@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from deltaloom.llm.exchange import release
 from deltaloom.session import ship_package, staged
 from deltaloom.sources.tables import table
 
@@ -220,8 +221,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
     cut = (1 << 31) * 1.1 * most / max(n, 1)
     chosen = staged(ids.filter(F.col("_h") < F.lit(cut)).orderBy("_h", "doc_id").limit(most).select("doc_id", "toxic", "_h"), "sample")
     # chosen is bounded by `most`, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("_h", "doc_id", "text").limit(most).select("text", "toxic")
-    return [(r["text"], int(r["toxic"] > 0)) for r in rows.collect()]
+    rows = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample-texts")
+    first = rows.orderBy("_h", "doc_id", F.xxhash64("text")).limit(most) if rows.count() > most else rows  # an id with many rows
+    return [(r["text"], int(r["toxic"] > 0)) for r in sorted(first.collect(), key=lambda r: (r["_h"], r["doc_id"], r["text"] or ""))]
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -234,6 +236,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for i in range(0, len(whole), 512):
                 part = whole.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, name])
+                del part
+                release()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
