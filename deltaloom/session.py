@@ -62,7 +62,16 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(staged_table: DataFrame, part: str = "") -> None:
+    """Delete a staged table that nothing reads any more, or one partition folder of it."""
+    spark, path = staged_table.sparkSession, f"{staged_table._staged_at}/{part}".rstrip("/")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> None:
