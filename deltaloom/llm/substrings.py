@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm.exchange import Batch, Corpus, groups, pack, packed_question, replied, unpack
 from deltaloom.llm.kernels import PLACE, U, Words, by_doc, mix, spread, words_of
-from deltaloom.session import staged
+from deltaloom.session import discard, staged
 from deltaloom.sources.tables import table
 
 #: The asked length, and the first level: twice it is the asked length or more.
@@ -213,6 +213,8 @@ class RepeatedWindows:
             yield from _level(number, batch, words, np.arange(len(batch.texts)), shared, base, base, np.zeros(len(batch.texts), np.uint32), edges)
 
         levels = [staged(corpus.map(first_level, LEVEL, self.answers), "level", ["kind"])]
+        discard(self.level1)
+        discard(self.level2)
         length = base
         while levels[-1].filter("kind = 1").take(1):
             levels.append(self._double(levels[-1], length, edges))
@@ -226,6 +228,7 @@ class RepeatedWindows:
 
     def _double(self, level: DataFrame, length: int, edges: np.ndarray) -> DataFrame:
         answers = replied(level.filter("kind = 1").select("batch", "bucket", "n", "keys", "vals"), "answers", _earlier, ENTRY, "u1")
+        discard(level, "kind=1")
         state, base, twice = level.filter("kind = 0 AND left > 0"), self.length, 2 * length
         part = lambda n, name: state.select("batch", "bucket", F.col(n).alias("n"), F.col(name).alias("answer"))
 
@@ -237,7 +240,9 @@ class RepeatedWindows:
             yield from _level(number, batch, words, alive, now, base, twice, reached, edges)
 
         # batches that had nothing to ask have no answers; they stay at the level they reached
-        return staged(self.corpus.map(next_level, LEVEL, ((part("n", "marks"), "u1"), (part("left", "alive"), "u4"), (part("docs", "reached"), "u4"), (answers, "u1")), how="inner"), "level", ["kind"])
+        out = staged(self.corpus.map(next_level, LEVEL, ((part("n", "marks"), "u1"), (part("left", "alive"), "u4"), (part("docs", "reached"), "u4"), (answers, "u1")), how="inner"), "level", ["kind"])
+        discard(answers)
+        return out
 
 
 def _kept(batch: Batch, words: Words, earlier: np.ndarray, length: int, with_text: bool) -> dict[str, pa.Array]:
