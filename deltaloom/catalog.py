@@ -11,8 +11,9 @@ from deltaloom.operators import dataflow, learning, relational, shapes
 from deltaloom.plans import tpch
 from deltaloom.sources import commands, external, formats
 from deltaloom.streaming import incremental, native, stateful
+from deltaloom.streaming import tpch as streamed_tpch
 
-SETS = [tpch.SET, relational.SET, scalar.SET, formats.SET, commands.SET, external.SET, dataflow.SET, shapes.SET, learning.SET, native.SET, stateful.SET, incremental.SET]
+SETS = [tpch.SET, relational.SET, scalar.SET, formats.SET, commands.SET, external.SET, dataflow.SET, shapes.SET, learning.SET, native.SET, stateful.SET, incremental.SET, streamed_tpch.SET]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,69 +2,43 @@
 
 A change is a row with a weight _w: +1 inserts it, -1 deletes it, and an update is one of each. An operator takes
 the changes of its inputs in a micro-batch and gives the changes of its output, so operators chain; consolidating
-all output changes gives what the batch query would return. State is a versioned table in the shared folder: batch
-n is written from batch n - 1 into a folder of its own, so a replayed batch overwrites itself.
+all output changes gives what the batch query would return. State lives in the view's folder (see state.py): a batch
+reads the keys that it touches and appends its changes, so its cost follows the change and not the state.
 
 Filters, projections and unions pass weights on. Sums and counts keep weighted partials. Inner joins follow
 d(L * R) = dL * R_old + L_new * dR. Operators that can't take a row back (outer, semi and anti joins, max, min,
-distinct) recompute the keys that a batch touches, before and after it, and give the difference.
+distinct) recompute the keys that a batch touches, before and after it, and give the difference. Keys that are null are
+groups like any other, and join nothing.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, StructType
 
 from deltaloom.plans.sqlset import SqlSet
-from deltaloom.session import shared_dir
 from deltaloom.sources.tables import table
 from deltaloom.streaming.native import finished, split_stream
+from deltaloom.streaming.state import At, State, View, W, consolidate, having
 
 SET = SqlSet()
-W = "_w"
 
 
 def weighted(df: DataFrame, w: int = 1) -> DataFrame:
     return df.withColumn(W, F.lit(w).cast("long"))
 
 
-def consolidate(changes: DataFrame) -> DataFrame:
-    """Equal rows as one with the sum of their weights; rows of weight 0 vanish."""
-    columns = [c for c in changes.columns if c != W]
-    return changes.groupBy(*columns).agg(F.sum(W).alias(W)).filter(f"{W} <> 0").select(*columns, W)
-
-
-def rows(changes: DataFrame) -> DataFrame:
-    """The multiset that changes add up to."""
-    whole = consolidate(changes)
-    return whole.filter(f"{W} > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(W)))).drop("_i", W)
-
-
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return consolidate(a.unionByName(b.withColumn(W, -F.col(W))))
 
 
-class State:
-    """A consolidated relation with a version for each batch; only the last two are kept."""
-
-    def __init__(self, spark: SparkSession, schema, name: str):
-        self.spark, self.schema = spark, schema
-        self.base = f"{shared_dir(spark)}/state/{name}-{uuid.uuid4().hex}"
-        self.version = -1
-
-    def now(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{self.version}")
-
-    def apply(self, delta: DataFrame) -> DataFrame:
-        new = consolidate(self.now().unionByName(delta))
-        new.write.mode("overwrite").parquet(f"{self.base}/{self.version + 1}")
-        self.version += 1
-        return self.now()
+def expanded(whole: DataFrame) -> DataFrame:
+    """Consolidated rows, each as often as its weight says."""
+    return whole.filter(f"{W} > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(W)))).drop("_i", W)
 
 
 class Join:
@@ -72,25 +46,28 @@ class Join:
 
     Both sides' columns have names of their own, the keys excepted."""
 
-    def __init__(self, keys: list[str], how: str):
-        self.keys, self.how, self.left, self.right = keys, how, None, None
+    def __init__(self, name: str, keys: list[str], how: str = "inner"):
+        self.name, self.keys, self.how = name, keys, how
 
-    def step(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        if self.left is None:
-            self.left, self.right = State(left.sparkSession, left.schema, "left"), State(right.sparkSession, right.schema, "right")
-        l_old, r_old = self.left.now(), self.right.now()
-        l_new, r_new = self.left.apply(left), self.right.apply(right)
+    def step(self, at: At, left: DataFrame, right: DataFrame) -> DataFrame:
+        if [left.schema[k].dataType for k in self.keys] != [right.schema[k].dataType for k in self.keys]:
+            raise ValueError("keys have to be of one type on both sides, as states are partitioned by their hash")
+        ls, rs = (State(at, f"{self.name}-{side}", self.keys, df.schema) for side, df in (("left", left), ("right", right)))
+        dl, dr = ls.write(left), rs.write(right)
         if self.how == "inner":
-            return consolidate(self._inner(left, r_old).unionByName(self._inner(l_new, right)))
-        touched = left.select(*self.keys).union(right.select(*self.keys)).distinct()
-        some = lambda df: df.join(touched, self.keys, "left_semi")
-        return minus(self._whole(some(l_new), some(r_new)), self._whole(some(l_old), some(r_old)))
+            r_old = having(rs.before(ls.parts), self.keys, dl.select(*self.keys).distinct())
+            l_new = having(ls.before(rs.parts), self.keys, dr.select(*self.keys).distinct()).unionByName(dl)
+            return self._inner(dl, r_old).unionByName(self._inner(l_new, dr))
+        parts, touched = sorted({*ls.parts, *rs.parts}), dl.select(*self.keys).union(dr.select(*self.keys)).distinct()
+        l_old, r_old = having(ls.before(parts), self.keys, touched), having(rs.before(parts), self.keys, touched)
+        return minus(self._whole(l_old.unionByName(dl), r_old.unionByName(dr)), self._whole(l_old, r_old))
 
     def _inner(self, a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.withColumnRenamed(W, "_wa").join(b.withColumnRenamed(W, "_wb"), self.keys)
         return both.withColumn(W, F.col("_wa") * F.col("_wb")).drop("_wa", "_wb")
 
     def _whole(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = consolidate(a), consolidate(b)
         if self.how in ("semi", "anti"):
             return a.join(b.select(*self.keys).distinct(), self.keys, f"left_{self.how}")
         both = a.withColumnRenamed(W, "_wa").join(b.withColumnRenamed(W, "_wb"), self.keys, self.how)
@@ -98,98 +75,190 @@ class Join:
 
 
 class Sums:
-    """Changes to changes of sums by key. sums: name to value; each group also has n, its number of rows.
-    final: name to expression over the sums; without it the sums themselves are the result."""
-
-    def __init__(self, keys: list[str], sums: dict[str, Column], final: dict[str, Column] | None = None):
-        self.keys, self.sums, self.state = keys, sums, None
-        self.final = final or {name: F.col(name) for name in sums}
-
-    def step(self, delta: DataFrame) -> DataFrame:
-        w = F.col(W)
-        # decimals take back exactly what they were given, doubles would drift
-        part = delta.groupBy(*self.keys).agg(F.sum(w).alias("n"), *[F.sum((w * x).cast("decimal(38,8)")).alias(name) for name, x in self.sums.items()])
-        if self.state is None:
-            self.state = State(delta.sparkSession, part.schema, "sums")
-            self.names = ["n", *self.sums]
-        old = self.state.now()
-        merged = old.unionByName(part).groupBy(*self.keys).agg(*[F.sum(c).cast(part.schema[c].dataType).alias(c) for c in self.names]).filter("n <> 0")
-        merged.select(*part.columns).write.mode("overwrite").parquet(f"{self.state.base}/{self.state.version + 1}")
-        self.state.version += 1
+    """Changes to changes of sums by key. sums: name to value. Of each group, n is its number of rows, and of each value
+    v, the sum v (null without values, as in SQL) and v__n, the number of values. final: name to expression over these;
+    without it n and the sums are the result.
+
+    Integers and decimals are summed exactly as decimals; a sum beyond 38 digits is an error. Floating values are taken
+    apart into eight decimals, summed exactly, what is left of them, and values of 1e22 or more, so that what was given can
+    be taken back. NaN and infinities stay.
+    """
+
+    #: Bounds of the decimal part of floating values: digits after the point, and the least value that has none.
+    SCALE, LARGE = 8, 1e22
+
+    def __init__(self, name: str, keys: list[str], sums: dict[str, Column] | None = None, final: dict[str, Column] | None = None):
+        self.name, self.keys, self.sums = name, keys, sums or {}
+        self.final = final or {x: F.col(x) for x in ("n", *self.sums)}
+
+    def _parts(self, delta: DataFrame) -> tuple[DataFrame, dict[str, str], dict[str, Column]]:
+        """Partial sums, the type of each, and each value's sum over them."""
+        kinds = delta.select(*[v.alias(k) for k, v in self.sums.items()]).schema
+        # a row of weight 3 is three rows, as a decimal times a weight would lose digits
+        times = F.when(F.abs(W) == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs(W)))
+        delta = delta.filter(f"{W} <> 0").withColumn("_i", F.explode(times)).withColumn(W, F.signum(W).cast("long")).drop("_i")
+        w, columns, types, values = F.col(W), {"n": F.col(W)}, {"n": "long"}, {"n": F.col("n")}
+        for k, v in self.sums.items():
+            kind = kinds[k].dataType
+            columns[f"{k}__n"] = F.when(v.isNotNull(), w).otherwise(F.lit(0))
+            types[f"{k}__n"], values[f"{k}__n"] = "long", F.col(f"{k}__n")
+            if isinstance(kind, (DoubleType, FloatType)):
+                v = v.cast("double")
+                large = F.isnan(v) | (F.abs(v) >= F.lit(self.LARGE))
+                exact = F.when(~large, v).cast(f"decimal(38,{self.SCALE})")
+                columns |= {f"{k}__d": F.when(w > 0, exact).otherwise(-exact), f"{k}__s": F.when(~large, (v - exact.cast("double")) * w), f"{k}__b": F.when(large, v * w)}
+                types |= {f"{k}__d": f"decimal(38,{self.SCALE})", f"{k}__s": "double", f"{k}__b": "double"}
+                value = F.coalesce(F.col(f"{k}__d").cast("double"), F.lit(0.0)) + F.coalesce(f"{k}__s", F.lit(0.0)) + F.coalesce(f"{k}__b", F.lit(0.0))
+                values[k] = F.when(F.col(f"{k}__n") > 0, value)
+            else:
+                scale = kind.scale if isinstance(kind, DecimalType) else 0
+                exact = v.cast(f"decimal(38,{scale})")
+                columns[f"{k}__d"], types[f"{k}__d"] = F.when(w > 0, exact).otherwise(-exact), f"decimal(38,{scale})"
+                values[k] = F.when(F.col(f"{k}__n") > 0, F.col(f"{k}__d"))
+        return delta.select(*self.keys, *[x.cast(types[c]).alias(c) for c, x in columns.items()]), types, values
+
+    def step(self, at: At, delta: DataFrame, forget: str | None = None) -> DataFrame:
+        """forget: groups that pass this condition on the keys are final; they leave the state, and changes of them are
+        late and dropped."""
+        terms, types, values = self._parts(delta if forget is None else delta.filter(f"NOT coalesce({forget}, false)"))
+
+        def total(c: str, t: str, mine: Column | bool = True) -> Column:
+            """The sum of a column; null is an error where there were values."""
+            x = F.when(F.lit(mine) if mine is True else mine, F.col(c))
+            found = F.sum(x).cast(t)
+            return F.when((F.count(x) > 0) & found.isNull(), F.raise_error(F.lit(f"the sum {c} has more than 38 digits"))).otherwise(found) if t.startswith("decimal") else found
+
+        def add(df: DataFrame) -> DataFrame:
+            return df.groupBy(*self.keys).agg(*[total(c, t).alias(c) for c, t in types.items()])
+
+        def merge(df: DataFrame) -> DataFrame:
+            return add(df if forget is None else df.filter(f"NOT coalesce({forget}, false)")).filter("n <> 0" if self.keys else "true")
+
+        part = add(terms)
+        state = State(at, self.name, self.keys, part.schema, merge)
+        fresh = state.new()
+        part = state.write(part)
+        # one pass gives each touched group as it was and as it is
+        rows = having(state.before(state.parts), self.keys, part.select(*self.keys)).withColumn("_old", F.lit(1)).unionByName(part.withColumn("_old", F.lit(0)))
+        both = rows.groupBy(*self.keys).agg(*[total(c, t, F.col("_old") == 1).alias(f"_o_{c}") for c, t in types.items()], *[total(c, t).alias(c) for c, t in types.items()])
         if not self.keys:
-            return minus(self._result(self.state.now()), self._result(old))
-        touched = part.select(*self.keys)
-        mine = lambda df: self._result(df.join(touched, self.keys, "left_semi"))
-        return minus(mine(self.state.now()), mine(old))
+            was = F.lit(not fresh)
+        else:
+            was = F.coalesce("_o_n", F.lit(0)) != 0
+        now = both.select(*self.keys, *[both[c] for c in types], F.lit(1).cast("long").alias(W)).filter("n <> 0" if self.keys else "true")
+        old = both.filter(was).select(*self.keys, *[F.coalesce(f"_o_{c}", F.lit(0)).cast(t).alias(c) if c == "n" or c.endswith("__n") else F.col(f"_o_{c}").alias(c) for c, t in types.items()], F.lit(-1).cast("long").alias(W))
+        return consolidate(self._result(now.unionByName(old), values))
 
-    def _result(self, sums: DataFrame) -> DataFrame:
-        return weighted(sums.select(*self.keys, *[x.alias(name) for name, x in self.final.items()]))
+    def _result(self, sums: DataFrame, values: dict[str, Column]) -> DataFrame:
+        named = sums.select(*self.keys, *[v.alias(k) for k, v in values.items()], W)
+        return named.select(*self.keys, *[x.alias(name) for name, x in self.final.items()], W)
 
 
 class Recomputed:
     """Changes to changes of any function of the rows of a key: of the keys touched, after minus before."""
 
-    def __init__(self, keys: list[str], result: Callable[[DataFrame], DataFrame]):
-        self.keys, self.result, self.state = keys, result, None
+    def __init__(self, name: str, keys: list[str], result: Callable[[DataFrame], DataFrame]):
+        self.name, self.keys, self.result = name, keys, result
 
-    def step(self, delta: DataFrame) -> DataFrame:
-        if self.state is None:
-            self.state = State(delta.sparkSession, delta.schema, "rows")
-        old = self.state.now()
-        new = self.state.apply(delta)
-        touched = delta.select(*self.keys).distinct()
-        mine = lambda df: weighted(self.result(df.join(touched, self.keys, "left_semi") if self.keys else df))
-        return minus(mine(new), mine(old))
+    def step(self, at: At, delta: DataFrame) -> DataFrame:
+        state = State(at, self.name, self.keys, delta.schema)
+        delta = state.write(delta)
+        old = having(state.before(state.parts), self.keys, delta.select(*self.keys).distinct())
+        mine = lambda df: weighted(self.result(expanded(consolidate(df))))
+        return minus(mine(old.unionByName(delta)), mine(old))
 
 
-class Theta:
-    """Changes of a stream and of one scalar row to changes of the rows that pass a condition on both."""
+class Aggregator:
+    """A user's aggregate that rows can be taken back from: a buffer, and what it does with a row."""
 
-    def __init__(self, condition: str):
-        self.condition, self.rows, self.scalar = condition, None, None
+    buffer: dict[str, str]  # columns of the buffer and their types
+    result: str  # type of the result
 
-    def step(self, delta: DataFrame, scalar: DataFrame) -> DataFrame:
-        if self.rows is None:
-            self.rows, self.scalar = State(delta.sparkSession, delta.schema, "theta"), State(delta.sparkSession, scalar.schema, "scalar")
-        r_old, s_old = self.rows.now(), self.scalar.now()
-        r_new, s_new = self.rows.apply(delta), self.scalar.apply(scalar)
-        pick = lambda r, s: r.join(F.broadcast(s.drop(W)), F.expr(self.condition)).select(*delta.columns)  # noqa: E731  one row
-        if not scalar.take(1):
-            return consolidate(pick(delta, s_new))
-        return minus(pick(r_new, s_new), pick(r_old, s_old))
+    def zero(self) -> dict:
+        raise NotImplementedError
 
+    def insert(self, buffer: dict, row: dict) -> None:
+        raise NotImplementedError
 
-class Sink:
-    """Output changes by batch."""
+    def delete(self, buffer: dict, row: dict) -> None:
+        raise NotImplementedError
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.schema = spark, f"{shared_dir(spark)}/sink/{uuid.uuid4().hex}", None
+    def finish(self, buffer: dict):
+        raise NotImplementedError
 
-    def write(self, delta: DataFrame, batch: int) -> DataFrame:
-        self.schema = delta.schema
-        delta.write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch}")
 
-    def rows(self) -> DataFrame:
-        return rows(self.spark.read.schema(self.schema).parquet(f"{self.path}/*"))
+class UserAggregate:
+    """Changes to changes of a user's aggregate by key: the result is named value. The buffers of the touched keys are
+    brought up to date by the batch's rows alone; a group goes when its rows are all taken back."""
+
+    def __init__(self, name: str, keys: list[str], aggregator: Aggregator, value: str = "value"):
+        self.name, self.keys, self.agg, self.value = name, keys, aggregator, value
+
+    def step(self, at: At, delta: DataFrame) -> DataFrame:
+        agg, keys, value = self.agg, self.keys, self.value
+        buffer = StructType.fromDDL(", ".join(f"{c} {t}" for c, t in {"_n": "long", **agg.buffer}.items()))
+        schema = StructType([*[delta.schema[k] for k in keys], *buffer.fields])
+        state = State(at, self.name, keys, StructType([*schema.fields, *weighted(delta.sparkSession.range(0)).select(W).schema.fields]))
+        inputs = [c for c in delta.columns if c not in (*keys, W)]
+        touched = delta.select(*keys).distinct()
+        parts = [r[0] for r in touched.select(state.part()).distinct().collect()]  # at most the state's partitions
+        old = having(consolidate(state.before(parts)), keys, touched)
+        tagged = old.select(*keys, F.struct(*[c for c in schema.names if c not in keys]).alias("_b"), *[F.lit(None).cast(delta.schema[c].dataType).alias(c) for c in inputs], F.lit(None).cast("long").alias(W))
+        rows = tagged.unionByName(delta.select(*keys, F.lit(None).cast(buffer).alias("_b"), *inputs, W))
+
+        def update(pdf):
+            import pandas as pd
+
+            out = agg.zero() | {"_n": 0}
+            for b in pdf["_b"]:
+                if b is not None:
+                    out = dict(b.asDict() if hasattr(b, "asDict") else b)
+            for row in pdf[pdf[W].notna()].sort_values(W, ascending=False).to_dict("records"):
+                for _ in range(abs(int(row[W]))):
+                    (agg.insert if row[W] > 0 else agg.delete)(out, row)
+                    out["_n"] += 1 if row[W] > 0 else -1
+            return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **out}], columns=schema.names)
+
+        new = weighted(rows.groupBy(*keys).applyInPandas(update, schema).filter("_n > 0"))
+        changed = consolidate(state.write(new.unionByName(old.withColumn(W, -F.col(W)))))
+        finish = F.udf(lambda b: agg.finish(b.asDict()), agg.result)
+        return consolidate(changed.select(*keys, finish(F.struct(*buffer.names)).alias(value), W))
+
+
+class Theta:
+    """Changes of a stream and of one scalar row to changes of the rows that pass a condition on both."""
+
+    def __init__(self, name: str, condition: str):
+        self.name, self.condition = name, condition
+
+    def step(self, at: At, delta: DataFrame, scalar: DataFrame) -> DataFrame:
+        rows, scalars = State(at, f"{self.name}-rows", [], delta.schema), State(at, f"{self.name}-scalar", [], scalar.schema)
+        pick = lambda r, s: r.join(F.broadcast(s.drop(W)), F.expr(self.condition)).select(*delta.columns)  # noqa: E731  one row
+        delta, scalar = rows.write(delta), scalars.write(scalar)
+        r_old, s_old = rows.before(), consolidate(scalars.before())
+        if not scalar.take(1):
+            return consolidate(pick(delta, s_old))
+        return minus(pick(r_old.unionByName(delta), consolidate(s_old.unionByName(scalar))), pick(r_old, s_old))
 
 
 def changes(df: DataFrame, key: str) -> list[DataFrame]:
-    """A table as batches: two thirds in, then the rest in with some wrongly doubled rows, then those out again."""
+    """A table as batches: a third in with some wrongly doubled rows, then another third in and the doubled ones and some
+    right ones out, then the rest in."""
     part = F.pmod(F.xxhash64(key), F.lit(3))
     extra = df.filter(F.pmod(F.xxhash64(key), F.lit(5)) == 0)
+    back = df.filter((part == 0) & (F.col(key) % 11 == 0))
     return [
         weighted(df.filter(part == 0).unionByName(extra)),
-        weighted(df.filter(part == 1)).unionByName(weighted(extra, -1)).unionByName(weighted(df.filter((part == 0) & (F.col(key) % 11 == 0)), -1)),
-        weighted(df.filter(part == 2)).unionByName(weighted(df.filter((part == 0) & (F.col(key) % 11 == 0)))),
+        weighted(df.filter(part == 1)).unionByName(weighted(extra, -1)).unionByName(weighted(back, -1)),
+        weighted(df.filter(part == 2)).unionByName(weighted(back)),
     ]
 
 
-def maintained(spark: SparkSession, batches: list[tuple[DataFrame, ...]], step: Callable[..., DataFrame]) -> DataFrame:
-    sink = Sink(spark)
+def maintained(spark: SparkSession, batches: Sequence[tuple[DataFrame, ...]], step: Callable[..., DataFrame]) -> DataFrame:
+    view, out = View(spark, step), None
     for i, inputs in enumerate(batches):
-        sink.write(step(*inputs), i)
-    return sink.rows()
+        out = view.feed(i, *inputs)
+    return view.rows(out.schema)
 
 
 def _sides(spark, sf_dir):
@@ -200,11 +269,16 @@ def _sides(spark, sf_dir):
 
 LEFT, RIGHT = "(SELECT c_custkey AS k, c_acctbal FROM customer) a", "(SELECT o_custkey AS k, o_orderkey, o_totalprice FROM orders) b"
 for how in ("inner", "left", "right", "full"):
-    SET.queries[f"inc_{how}"] = lambda spark, sf_dir, how=how: maintained(spark, _sides(spark, sf_dir), Join(["k"], how).step)
+    SET.queries[f"inc_{how}"] = lambda spark, sf_dir, how=how: maintained(spark, _sides(spark, sf_dir), Join("j", ["k"], how).step)
     SET.oracle[f"inc_{how}"] = f"SELECT k, c_acctbal, o_orderkey, o_totalprice FROM {LEFT} {how.upper()} JOIN {RIGHT} USING (k)"
-for how, word in (("semi", "EXISTS"), ("anti", "NOT EXISTS")):
-    SET.queries[f"inc_{how}"] = lambda spark, sf_dir, how=how: maintained(spark, _sides(spark, sf_dir), Join(["k"], how).step)
-    SET.oracle[f"inc_{how}"] = f"SELECT k, c_acctbal FROM {LEFT} WHERE {word} (SELECT 1 FROM {RIGHT} WHERE a.k = b.k)"
+for how, word in (("semi", "EXISTS"), ("anti", "NOT EXISTS")):  # of large orders, which not all customers have
+
+    def _semi(spark, sf_dir, how=how):
+        step = lambda at, c, o: Join("j", ["k"], how).step(at, c, o.filter("o_totalprice > 400000"))
+        return maintained(spark, _sides(spark, sf_dir), step)
+
+    SET.queries[f"inc_{how}"] = _semi
+    SET.oracle[f"inc_{how}"] = f"SELECT k, c_acctbal FROM {LEFT} WHERE {word} (SELECT 1 FROM {RIGHT} WHERE a.k = b.k AND o_totalprice > 400000)"
 
 
 def _lines(spark, sf_dir):
@@ -214,66 +288,129 @@ def _lines(spark, sf_dir):
 @SET.frame("inc_single_agg", "SELECT l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS s, round(avg(l_quantity), 4) AS a FROM lineitem GROUP BY l_linestatus")
 def inc_single_agg(spark, sf_dir):
     """As a stream: each micro-batch of a split table, with a deletion of its own doubled rows, through foreachBatch."""
-    op, sink = _status_sums(), Sink(spark)
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    op = Sums("s", ["l_linestatus"], {"s": price, "q": F.col("l_quantity")}, {"n": F.col("n"), "s": F.round("s", 2), "a": F.round(F.col("q") / F.col("q__n"), 4)})
+    view, schema = View(spark, op.step), []
 
     def each(batch: DataFrame, number: int) -> None:
         twice = batch.filter("l_orderkey % 4 = 0")
-        sink.write(op.step(weighted(batch).unionByName(weighted(twice)).unionByName(weighted(twice, -1))), number)
+        schema.append(view.feed(number, weighted(batch).unionByName(weighted(twice)).unionByName(weighted(twice, -1))).schema)
 
     finished(split_stream(spark, _lines(spark, sf_dir), 3, "l_orderkey"), each)
-    return sink.rows()
-
-
-def _status_sums() -> Sums:
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    final = {"n": F.col("n"), "s": F.round(F.col("s").cast("double"), 2), "a": F.round(F.col("q").cast("double") / F.col("n"), 4)}
-    return Sums(["l_linestatus"], {"s": price, "q": F.col("l_quantity")}, final)
+    return view.rows(schema[-1])
 
 
-@SET.frame("inc_complex_agg", "SELECT p, count(*) AS parts FROM (SELECT l_partkey, CAST(sum(l_quantity) / 100 AS BIGINT) AS p FROM (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem) x GROUP BY l_partkey) t GROUP BY p".replace("sum(l_quantity) / 100", "floor(sum(l_quantity) / 100)"))
+@SET.frame("inc_complex_agg", "SELECT p, count(*) AS parts FROM (SELECT l_partkey, CAST(floor(sum(CAST(l_quantity AS BIGINT)) / 100) AS BIGINT) AS p FROM lineitem GROUP BY l_partkey) t GROUP BY p")
 def inc_complex_agg(spark, sf_dir):
     """An aggregate over the changes of an aggregate: the first retracts its old groups."""
-    inner = Sums(["l_partkey"], {"q": F.col("l_quantity").cast("long")}, {"p": F.floor(F.col("q") / 100).cast("long")})
-    outer = Sums(["p"], {"one": F.lit(1)}, {"parts": F.col("n")})
-    return maintained(spark, [(d,) for d in changes(_lines(spark, sf_dir), "l_orderkey")], lambda d: outer.step(inner.step(d)))
+    inner = Sums("inner", ["l_partkey"], {"q": F.col("l_quantity").cast("long")}, {"p": F.floor(F.col("q") / 100).cast("long")})
+    outer = Sums("outer", ["p"], {}, {"parts": F.col("n")})
+    return maintained(spark, [(d,) for d in changes(_lines(spark, sf_dir), "l_orderkey")], lambda at, d: outer.step(at, inner.step(at, d)))
 
 
 @SET.frame("inc_q17", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#2' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = p_partkey)")
 def inc_q17(spark, sf_dir):
     part = table(spark, sf_dir, "part").filter("p_brand = 'Brand#2'").select(F.col("p_partkey").alias("l_partkey"))
-    average = Sums(["l_partkey"], {"q": F.col("l_quantity")}, {"bar": 0.5 * F.col("q").cast("double") / F.col("n")})
-    with_bar, total = Join(["l_partkey"], "inner"), Sums([], {"s": F.col("l_extendedprice")}, {"n": F.col("n"), "s": F.round(F.col("s").cast("double"), 2)})
+    average = Sums("average", ["l_partkey"], {"q": F.col("l_quantity")}, {"bar": 0.5 * F.col("q") / F.col("q__n")})
+    with_bar, total = Join("bar", ["l_partkey"]), Sums("total", [], {"s": F.col("l_extendedprice")}, {"n": F.col("n"), "s": F.round("s", 2)})
 
-    def step(delta: DataFrame) -> DataFrame:
-        mine = delta.join(part, "l_partkey")
-        return total.step(with_bar.step(mine, average.step(mine)).filter("l_quantity < bar"))
+    def step(at: At, delta: DataFrame) -> DataFrame:
+        mine = delta.select("l_partkey", "l_quantity", "l_extendedprice", W).join(part, "l_partkey")
+        return total.step(at, with_bar.step(at, mine, average.step(at, mine)).filter("l_quantity < bar"))
 
     return maintained(spark, [(d,) for d in changes(_lines(spark, sf_dir), "l_orderkey")], step)
 
 
-@SET.frame("inc_theta", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)")
+@SET.frame("inc_theta", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.01 FROM part)")
 def inc_theta(spark, sf_dir):
-    bar, theta = Sums([], {"x": F.col("p_retailprice")}, {"bar": F.col("x").cast("double") / F.col("n") * 1.2}), Theta("p_retailprice > bar")
+    bar, theta = Sums("bar", [], {"x": F.col("p_retailprice")}, {"bar": F.col("x") / F.col("x__n") * 1.01}), Theta("theta", "p_retailprice > bar")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    return maintained(spark, [(d,) for d in changes(parts, "p_partkey")], lambda d: theta.step(d, bar.step(d)))
+    return maintained(spark, [(d,) for d in changes(parts, "p_partkey")], lambda at, d: theta.step(at, d, bar.step(at, d)))
 
 
 @SET.frame("inc_distinct", "SELECT DISTINCT l_suppkey, l_linestatus FROM lineitem")
 def inc_distinct(spark, sf_dir):
     lines = _lines(spark, sf_dir).select("l_orderkey", "l_suppkey", "l_linestatus")
-    op = Recomputed(["l_suppkey", "l_linestatus"], lambda df: df.select("l_suppkey", "l_linestatus").distinct())
+    op = Recomputed("d", ["l_suppkey", "l_linestatus"], lambda df: df.distinct())
     return maintained(spark, [(d.drop("l_orderkey"),) for d in changes(lines, "l_orderkey")], op.step)
 
 
 @SET.frame("inc_max_with_deletes", "SELECT l_suppkey, max(l_extendedprice) AS hi, min(l_quantity) AS lo FROM lineitem GROUP BY l_suppkey")
 def inc_max_with_deletes(spark, sf_dir):
-    op = Recomputed(["l_suppkey"], lambda df: df.groupBy("l_suppkey").agg(F.max("l_extendedprice").alias("hi"), F.min("l_quantity").alias("lo")))
+    op = Recomputed("m", ["l_suppkey"], lambda df: df.groupBy("l_suppkey").agg(F.max("l_extendedprice").alias("hi"), F.min("l_quantity").alias("lo")))
     return maintained(spark, [(d,) for d in changes(_lines(spark, sf_dir), "l_orderkey")], op.step)
 
 
 @SET.frame("inc_filter_union", "SELECT l_suppkey FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_suppkey FROM lineitem WHERE l_quantity < 3")
 def inc_filter_union(spark, sf_dir):
-    def step(d: DataFrame) -> DataFrame:
+    def step(at: At, d: DataFrame) -> DataFrame:
         return d.filter("l_quantity > 45").select("l_suppkey", W).unionByName(d.filter("l_quantity < 3").select("l_suppkey", W))
 
     return maintained(spark, [(d,) for d in changes(_lines(spark, sf_dir), "l_orderkey")], step)
+
+
+_NULLED = "SELECT nullif(o_custkey % 5, 0) AS k, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS x FROM orders"
+
+
+@SET.frame("inc_null_keys", f"""SELECT k, count(*) AS n, count(x) AS nx, round(sum(x), 2) AS s, round(avg(x), 4) AS a FROM ({_NULLED}) o GROUP BY k""")
+def inc_null_keys(spark, sf_dir):
+    """Sums of values some of which are null, by a key that is null for a fifth of all rows."""
+    o = table(spark, sf_dir, "orders").selectExpr("nullif(o_custkey % 5, 0) AS k", "o_orderkey", "CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS x")
+    op = Sums("s", ["k"], {"x": F.col("x")}, {"n": F.col("n"), "nx": F.col("x__n"), "s": F.round("x", 2), "a": F.round(F.col("x") / F.col("x__n"), 4)})
+    return maintained(spark, [(d,) for d in changes(o, "o_orderkey")], op.step)
+
+
+@SET.frame("inc_replay", "SELECT k, c_acctbal, o_orderkey, o_totalprice FROM (SELECT nullif(c_custkey % 700, 0) AS k, c_acctbal FROM customer) a FULL JOIN (SELECT nullif(o_custkey % 900, 0) AS k, o_orderkey, o_totalprice FROM orders) b USING (k)")
+def inc_replay(spark, sf_dir):
+    """A full join on keys with nulls, each batch given twice, the second time by a new driver."""
+    c = table(spark, sf_dir, "customer").selectExpr("nullif(c_custkey % 700, 0) AS k", "c_custkey", "c_acctbal")
+    o = table(spark, sf_dir, "orders").selectExpr("nullif(o_custkey % 900, 0) AS k", "o_orderkey", "o_totalprice")
+    out, root = None, None
+    for i, (a, b) in enumerate(zip(changes(c, "c_custkey"), changes(o, "o_orderkey"), strict=True)):
+        for _ in range(2):
+            view = View(spark, Join("j", ["k"], "full").step, root)
+            root, out = view.root, view.feed(i, a.drop("c_custkey"), b)
+    return view.rows(out.schema)
+
+
+class _Average(Aggregator):
+    """An average that rows can be taken back from."""
+
+    buffer, result = {"total": "double", "n": "long"}, "double"
+
+    def zero(self) -> dict:
+        return {"total": 0.0, "n": 0}
+
+    def insert(self, buffer: dict, row: dict) -> None:
+        buffer["total"] += row["l_quantity"]
+        buffer["n"] += 1
+
+    def delete(self, buffer: dict, row: dict) -> None:
+        buffer["total"] -= row["l_quantity"]
+        buffer["n"] -= 1
+
+    def finish(self, buffer: dict):
+        return buffer["total"] / buffer["n"]
+
+
+@SET.frame("inc_user_aggregate", "SELECT l_suppkey, round(avg(l_quantity), 4) AS a FROM lineitem GROUP BY l_suppkey")
+def inc_user_aggregate(spark, sf_dir):
+    op = UserAggregate("u", ["l_suppkey"], _Average(), "a")
+    step = lambda at, d: op.step(at, d).withColumn("a", F.round("a", 4))
+    return maintained(spark, [(d.select("l_suppkey", "l_quantity", W),) for d in changes(_lines(spark, sf_dir), "l_orderkey")], step)
+
+
+@SET.frame("inc_watermark", "SELECT h, count(*) AS n, round(sum(value), 2) AS s FROM (SELECT date_trunc('hour', ts) AS h, value, event_id % 3 AS b FROM events) e WHERE b = 0 OR h >= (SELECT date_trunc('hour', max(ts)) - INTERVAL 1 DAY FROM events WHERE event_id % 3 < b) GROUP BY h")
+def inc_watermark(spark, sf_dir):
+    """Hours whose end is a day behind the newest event are final: their state goes, and late rows of them are dropped."""
+    events = table(spark, sf_dir, "events").selectExpr("date_trunc('hour', ts) AS h", "ts", "value", "event_id % 3 AS b")
+    op = Sums("w", ["h"], {"s": F.col("value")}, {"n": F.col("n"), "s": F.round("s", 2)})
+    view, newest, out = None, None, None
+    for b in range(3):
+        mine = events.filter(F.col("b") == b)
+        forget = None if newest is None else f"h < timestamp_micros({newest}) - INTERVAL 1 DAY"
+        view = View(spark, lambda at, d, forget=forget: op.step(at, d, forget), view.root if view else None)
+        out = view.feed(b, weighted(mine.select("h", "value")))
+        seen = events.filter(F.col("b") <= b).agg(F.unix_micros(F.date_trunc("hour", F.max("ts")))).first()[0]
+        newest = seen if seen is not None else newest
+    return view.rows(out.schema)
