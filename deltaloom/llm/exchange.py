@@ -10,6 +10,7 @@ of all rows hold doesn't make a hot group, and sorted keys pack into a few bytes
 from __future__ import annotations
 
 import ctypes
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,14 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.kernels import encoded
-from deltaloom.session import shared_dir, ship_package, staged
+from deltaloom.session import shared_dir, ship_package, shuffles_dropped, staged
 
 #: Bytes of text in a batch, bytes of text for each bucket of keys, and bytes of input for each task that reads batches.
-BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, MOST_TASKS = 4 << 20, 8 << 20, 48, 64 << 20, 1 << 20
+BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, MOST_TASKS = 2 << 20, 8 << 20, 48, 64 << 20, 1 << 20
 TOTALS = 4
 CODEC = pa.Codec("zstd", compression_level=1)
 
@@ -35,6 +36,15 @@ def pack(a: np.ndarray) -> bytes:
     return CODEC.compress(raw, asbytes=True) if raw else b""
 
 
+def pack_all(arrays: dict[str, np.ndarray]) -> bytes:
+    """Named arrays as one blob."""
+    return pickle.dumps({name: (pack(a), len(a), a.dtype.str) for name, a in arrays.items()})
+
+
+def unpack_all(blob: bytes) -> dict[str, np.ndarray]:
+    return {name: unpack(*x) for name, x in pickle.loads(blob).items()}
+
+
 def unpack(raw: bytes, n: int, kind: np.dtype) -> np.ndarray:
     kind = np.dtype(kind)
     if not n:
@@ -73,43 +83,37 @@ def reading_tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), MOST_TASKS) if size < 1 << 60 else 1)
 
 
-class Corpus:
-    """doc_id and text of documents in batches, and the questions asked of them."""
+class Batches:
+    """A stored table of batches, a blob each, and the questions asked of them."""
 
-    def __init__(self, docs: DataFrame, lower: bool = False, batch_bytes: int = BATCH_BYTES):
-        self.spark = spark = docs.sparkSession
-        ship_package(spark)
-        self.name = f"deltaloom_{uuid.uuid4().hex}"
+    spark: SparkSession
+    tasks: int
+    buckets: int
+    read: Callable = staticmethod(_unpacked)  # what a blob holds
 
-        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-            ids, texts, size = [], [], 0
+    def store(self, batches: DataFrame) -> None:
+        """Write batch and blob (and other columns) to a table of this name, bucketed by batch."""
+        self.name = f"deltaloom_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/staged/{self.name}"
+        with shuffles_dropped(self.spark):
+            batches.write.option("path", self.path).option("compression", "uncompressed").bucketBy(self.tasks, "batch").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
 
-            def full() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "bytes": pa.array([size], pa.int64()), "blob": pa.array([_packed(ids, texts)], pa.binary())})
+    def derived(self, fn: Callable[..., bytes], read: Callable, answers: tuple = ()) -> Batches:
+        """Batches whose blobs fn(batch number, what a blob holds, arrays of answers) makes, and read reads."""
+        out = Batches()
+        out.spark, out.tasks, out.buckets, out.read = self.spark, self.tasks, self.buckets, read
 
-            for part in found:
-                for i, text in zip(part.column(0).to_pylist(), encoded(part.column(1).to_pylist(), lower), strict=True):
-                    if texts and size + len(text) > batch_bytes:
-                        yield full()
-                        number, ids, texts, size = number + 1, [], [], 0
-                    ids.append(i)
-                    texts.append(text)
-                    size += len(text) + 64
-            if texts:
-                yield full()
+        def made(number: int, held, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "blob": pa.array([fn(number, held, *arrays)], pa.binary())})
 
-        packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "batch long, bytes long, blob binary")
-        tasks = reading_tasks(docs)
-        self.path = f"{shared_dir(spark)}/staged/{self.name}"
-        packed.write.option("path", self.path).option("compression", "uncompressed").bucketBy(tasks, "batch").saveAsTable(self.name)
-        self.table = spark.table(self.name)
-        self.bytes = self.table.agg(F.sum("bytes")).first()[0] or 0
-        self.buckets = max(LEAST_BUCKETS, -(-self.bytes // BUCKET_BYTES))
+        out.store(self.map(made, "batch long, blob binary", answers))
+        return out
 
     def map(self, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, answers: tuple[tuple[DataFrame, str], ...] = (), how: str = "left") -> DataFrame:
-        """fn(batch number, Batch, an array for each of answers) on every batch; with how = inner on those with answers
-        alone. answers: tables from ask() and kinds."""
+        """fn(batch number, what its blob holds, an array for each of answers) on every batch; with how = inner on those
+        with answers alone. answers: tables from ask() and kinds."""
+        read = self.read
         joined = self.table.select("batch", "blob")
         for i, (rows, _) in enumerate(answers):
             mine = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "answer"))).alias(f"a{i}"))
@@ -124,14 +128,14 @@ class Corpus:
                     for j, kind in enumerate(kinds):
                         parts = [unpack(x["answer"], x["n"], kind) for x in row.column(2 + j)[0].as_py() or []]
                         arrays.append(np.concatenate(parts) if parts else np.empty(0, kind))
-                    yield from fn(row.column(0)[0].as_py(), _unpacked(row.column(1)[0].as_py()), *arrays)
+                    yield from fn(row.column(0)[0].as_py(), read(row.column(1)[0].as_py()), *arrays)
                     del row, arrays
                     release()
 
         return joined.mapInArrow(run, schema)
 
     def ask(self, name: str, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64, how: str = "left") -> DataFrame:
-        """question(Batch, arrays of answers) gives sorted keys below 2**key_bits and a value each;
+        """question(what a blob holds, arrays of answers) gives sorted keys below 2**key_bits and a value each;
         reply(keys, values) of a bucket's entries gives an answer each and up to TOTALS totals. The result is staged."""
         edges = self.edges(key_bits)
 
@@ -153,6 +157,38 @@ class Corpus:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Corpus(Batches):
+    """doc_id and text of documents in batches."""
+
+    def __init__(self, docs: DataFrame, lower: bool = False, batch_bytes: int = BATCH_BYTES):
+        self.spark = docs.sparkSession
+        ship_package(self.spark)
+
+        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+            ids, texts, size = [], [], 0
+
+            def full() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "bytes": pa.array([size], pa.int64()), "blob": pa.array([_packed(ids, texts)], pa.binary())})
+
+            for part in found:
+                for i, text in zip(part.column(0).to_pylist(), encoded(part.column(1).to_pylist(), lower), strict=True):
+                    if texts and size + len(text) > batch_bytes:
+                        yield full()
+                        number, ids, texts, size = number + 1, [], [], 0
+                    ids.append(i)
+                    texts.append(text)
+                    size += len(text) + 64
+            if texts:
+                yield full()
+
+        packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "batch long, bytes long, blob binary")
+        self.tasks = reading_tasks(docs)
+        self.store(packed)
+        self.bytes = self.table.agg(F.sum("bytes")).first()[0] or 0
+        self.buckets = max(LEAST_BUCKETS, -(-self.bytes // BUCKET_BYTES))
+
+
 QUESTION = "batch long, bucket long, n long, keys binary, vals binary"
 
 
