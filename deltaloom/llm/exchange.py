@@ -101,20 +101,23 @@ class Batches:
 
     def derived(self, fn: Callable[..., bytes], read: Callable, answers: tuple = ()) -> Batches:
         """Batches whose blobs fn(batch number, what a blob holds, arrays of answers) makes, and read reads."""
-        out = Batches()
-        out.spark, out.tasks, out.buckets, out.read = self.spark, self.tasks, self.buckets, read
-
         def made(number: int, held, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "blob": pa.array([fn(number, held, *arrays)], pa.binary())})
 
-        out.store(self.map(made, "batch long, blob binary", answers))
+        return self.derived_rows(self.map(made, "batch long, blob binary", answers), read)
+
+    def derived_rows(self, rows: DataFrame, read: Callable) -> Batches:
+        """Batches of rows with batch, blob and other columns, made by map()."""
+        out = Batches()
+        out.spark, out.tasks, out.buckets, out.read = self.spark, self.tasks, self.buckets, read
+        out.store(rows)
         return out
 
-    def map(self, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, answers: tuple[tuple[DataFrame, str], ...] = (), how: str = "left") -> DataFrame:
+    def map(self, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, answers: tuple[tuple[DataFrame, str], ...] = (), how: str = "left", where: str = "true") -> DataFrame:
         """fn(batch number, what its blob holds, an array for each of answers) on every batch; with how = inner on those
         with answers alone. answers: tables from ask() and kinds."""
         read = self.read
-        joined = self.table.select("batch", "blob")
+        joined = self.table.filter(where).select("batch", "blob")
         for i, (rows, _) in enumerate(answers):
             mine = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "answer"))).alias(f"a{i}"))
             joined = joined.join(mine.hint("shuffle_merge"), "batch", how)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.exchange import Batch, Corpus, groups, pack, packed_question, replied, unpack
+from deltaloom.llm.exchange import Batch, Batches, Corpus, groups, pack_all, packed_question, replied, unpack_all
 from deltaloom.llm.kernels import PLACE, U, Words, by_doc, mix, spread, words_of
 from deltaloom.session import discard, staged
 from deltaloom.sources.tables import table
@@ -203,45 +203,47 @@ class RepeatedWindows:
         """doc_id, n_words, n_removed, kept_sha256 and longest_repeat: the greatest of length, 2 * length, ... at which
         a window of the document is also in another one, 0 for none.
 
-        A pass over the batches gives the marks of a level and asks for the next one; it reads the batches, and of these
-        the documents, that still have repeated windows."""
-        corpus, base, first, edges = self.corpus, self.length, self.first, self.corpus.edges(64)
+        A pass over the batches gives the marks of a level and asks for the next one. It leaves batches of the documents
+        that still have repeated windows, which the next level reads; a document that has none left is done."""
+        base, first, edges = self.length, self.first, self.corpus.edges(64)
 
         def first_level(number: int, batch: Batch, a1: np.ndarray, a2: np.ndarray) -> Iterator[pa.RecordBatch]:
             words, earlier, shared = _found(batch, a1, a2, base, first)
-            yield _rows(2, {"batch": pa.array([number] * len(batch.texts), pa.int64()), "bucket": pa.array(range(len(batch.texts)), pa.int64()), "doc_id": batch.id_column(), **_kept(batch, words, earlier, base, False)})
-            yield from _level(number, batch, words, np.arange(len(batch.texts)), shared, base, base, np.zeros(len(batch.texts), np.uint32), edges)
+            n = len(batch.texts)
+            yield _rows(2, {"batch": pa.array([number] * n, pa.int64()), "bucket": pa.array(range(n), pa.int64()), "doc_id": batch.id_column(), **_kept(batch, words, earlier, base, False)})
+            yield from _level(number, batch, np.arange(n), words, shared, base, 0, base, edges)
 
-        levels = [staged(corpus.map(first_level, LEVEL, self.answers), "level", ["kind"])]
+        results, final = [], None
+        level, length = self.corpus.derived_rows(self.corpus.map(first_level, LEVEL, self.answers), _alive), base
         discard(self.level1)
         discard(self.level2)
-        length = base
-        while levels[-1].filter("kind = 1").take(1):
-            levels.append(self._double(levels[-1], length, edges))
-            length *= 2
-        every = None
-        for i, rows in enumerate(levels):
-            mine = rows.filter("kind = 0").select("batch", F.struct(F.lit(i).alias("i"), "docs", "reached").alias("r"))
-            every = mine if every is None else every.unionAll(mine)
-        last = every.groupBy("batch").agg(F.max("r").alias("r")).select("batch", "r.docs", "r.reached").mapInArrow(_reached, "batch long, bucket long, longest_repeat long")
-        return levels[0].filter("kind = 2").join(last, ["batch", "bucket"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
-
-    def _double(self, level: DataFrame, length: int, edges: np.ndarray) -> DataFrame:
-        answers = replied(level.filter("kind = 1").select("batch", "bucket", "n", "keys", "vals"), "answers", _earlier, ENTRY, "u1")
-        discard(level, "kind=1")
-        state, base, twice = level.filter("kind = 0 AND left > 0"), self.length, 2 * length
-        part = lambda n, name: state.select("batch", "bucket", F.col(n).alias("n"), F.col(name).alias("answer"))
-
-        def next_level(number: int, batch: Batch, marks: np.ndarray, alive: np.ndarray, reached: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
-            words = words_of([batch.texts[i] for i in alive.tolist()])
-            at, (_, _, which, _) = _next(batch, words, alive, marks, base, length)
+        while True:
+            done = level.table.filter("kind IN (2, 3)").drop("blob", "keys", "vals")
+            results.append(staged(done, "done"))
+            if not level.table.filter("kind = 1").take(1):
+                level.close()
+                break
+            level, length = self._double(level, length, edges), 2 * length
+        for rows in results:
+            mine = rows.filter("kind = 3").select("batch", "bucket", "longest_repeat")
+            final = mine if final is None else final.unionAll(mine)
+        return results[0].filter("kind = 2").drop("longest_repeat").join(final, ["batch", "bucket"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
+
+    def _double(self, level: Batches, length: int, edges: np.ndarray) -> Batches:
+        answers = replied(level.table.filter("kind = 1").select("batch", "bucket", "n", "keys", "vals"), "answers", _earlier, ENTRY, "u1")
+        base, twice = self.length, 2 * length
+
+        def next_level(number: int, held: dict[str, np.ndarray], answer: np.ndarray) -> Iterator[pa.RecordBatch]:
+            batch = _batch_of(held)
+            words = words_of(batch.texts)
+            at, (_, _, which, _) = _next(batch, words, held["marks"], base, length)
             now = np.zeros(max(0, len(words.hashes) - twice + 1), bool)
             now[at] = answer[which] & 2 > 0
-            yield from _level(number, batch, words, alive, now, base, twice, reached, edges)
+            yield from _level(number, batch, held["place"], words, now, base, length, twice, edges)
 
-        # batches that had nothing to ask have no answers; they stay at the level they reached
-        out = staged(self.corpus.map(next_level, LEVEL, ((part("n", "marks"), "u1"), (part("left", "alive"), "u4"), (part("docs", "reached"), "u4"), (answers, "u1")), how="inner"), "level", ["kind"])
+        out = self.corpus.derived_rows(level.map(next_level, LEVEL, ((answers, "u1"),), "inner", "kind = 0"), _alive)
         discard(answers)
+        level.close()
         return out
 
 
@@ -258,12 +260,11 @@ def _kept(batch: Batch, words: Words, earlier: np.ndarray, length: int, with_tex
     return out | ({"kept_text": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())} if with_text else {})
 
 
-#: Kind 0, a batch's state after a level: marks of the windows of documents that have any, which documents these are and
-#: how many, and the length that each document of the batch reached. Kind 1: what is asked for the next level. Kind 2: a
-#: document's result of the first one, bucket being its place in the batch.
+#: Kind 0, a batch of the documents that have repeated windows. Kind 1, what is asked for the next level. Kind 2, a
+#: document's result of the first level, bucket being its place in the batch. Kind 3, the longest of a document that is done.
 LEVEL_COLUMNS = {
-    "kind": pa.int32(), "batch": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "marks": pa.binary(), "left": pa.int64(), "alive": pa.binary(), "docs": pa.int64(), "reached": pa.binary(),
-    "keys": pa.binary(), "vals": pa.binary(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
+    "kind": pa.int32(), "batch": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "blob": pa.binary(), "keys": pa.binary(), "vals": pa.binary(),
+    "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "longest_repeat": pa.int64(),
 }
 LEVEL = ", ".join(f"{c} { {'int32': 'int', 'int64': 'long', 'binary': 'binary', 'string': 'string'}[str(t)] }" for c, t in LEVEL_COLUMNS.items())
 
@@ -274,34 +275,44 @@ def _rows(kind: int, found: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: found.get(c, pa.nulls(n, t)) for c, t in LEVEL_COLUMNS.items()})
 
 
-def _next(batch: Batch, words: Words, docs: np.ndarray, marks: np.ndarray, base: int, length: int) -> tuple:
-    """Places of the candidates of twice the length, and their entries. docs: the documents of the batch that words are of."""
+def _alive(blob: bytes) -> dict[str, np.ndarray]:
+    return unpack_all(blob)
+
+
+def _batch_of(held: dict[str, np.ndarray]) -> Batch:
+    ends = np.cumsum(held["size"], dtype=np.int64)
+    raw = held["text"].tobytes()
+    return Batch(held["id"], held["known"] > 0, [raw[e - n : e] for e, n in zip(ends.tolist(), held["size"].tolist(), strict=True)])
+
+
+def _next(batch: Batch, words: Words, marks: np.ndarray, base: int, length: int) -> tuple:
+    """Places of the candidates of twice the length, and their entries."""
     at = _wide(words, marks, length)
     key, check, _ = windows(words, base, 2 * length)
-    return at, _entries(batch, key[at], check[at], docs[words.doc[at]])
+    return at, _entries(batch, key[at], check[at], words.doc[at])
 
 
-def _level(number: int, batch: Batch, words: Words, docs: np.ndarray, shared: np.ndarray, base: int, length: int, was: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """was: the length that every document had reached."""
+def _level(number: int, batch: Batch, place: np.ndarray, words: Words, shared: np.ndarray, base: int, was: int, length: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a level leaves of the documents of a batch, which had all reached the length `was`. place: theirs in the batch."""
     marks = np.zeros(len(words.hashes), np.uint8)
     marks[: len(shared)] = shared
     hit = by_doc(marks, words.first) > 0
-    reached, alive = was.astype(np.uint32), docs[hit].astype(np.uint32)
-    reached[alive] = length
-    left = marks[hit[words.doc]] if len(marks) else marks
-    state = {"batch": [number], "bucket": [0], "n": [len(left)], "left": [len(alive)], "docs": [len(reached)], "marks": [pack(left)], "alive": [pack(alive)], "reached": [pack(reached)]}
-    yield _rows(0, {c: pa.array(x, LEVEL_COLUMNS[c]) for c, x in state.items()})
-    if len(alive):
-        asked = packed_question(number, *_next(batch, words, docs, marks, base, length)[1][:2], edges)
-        if len(asked["batch"]):
-            yield _rows(1, asked)
-
-
-def _reached(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in found:
-        for row in part.to_pylist():
-            n = row["docs"]
-            yield pa.RecordBatch.from_pydict({"batch": pa.array([row["batch"]] * n, pa.int64()), "bucket": pa.array(range(n), pa.int64()), "longest_repeat": pa.array(unpack(row["reached"], n, "u4").astype(np.int64))})
+    reached = np.where(hit, length, was)
+    entries = _next(batch, words, marks, base, length)[1]
+    asked = packed_question(number, *entries[:2], edges)
+    goes_on = hit if len(asked["batch"]) else np.zeros(len(hit), bool)
+    done = np.flatnonzero(~goes_on)
+    if len(done):
+        yield _rows(3, {"batch": pa.array([number] * len(done), pa.int64()), "bucket": pa.array(place[done].astype(np.int64)), "longest_repeat": pa.array(reached[done].astype(np.int64))})
+    if goes_on.any():
+        left = np.flatnonzero(goes_on)
+        texts = [batch.texts[i] for i in left.tolist()]
+        blob = {
+            "text": np.frombuffer(b"".join(texts), np.uint8), "size": np.array([len(t) for t in texts], np.uint32), "place": place[left].astype(np.uint32),
+            "id": batch.ids[left], "known": batch.known[left].astype(np.uint8), "marks": marks[hit[words.doc]],
+        }
+        yield _rows(0, {"batch": pa.array([number], pa.int64()), "blob": pa.array([pack_all(blob)], pa.binary())})
+        yield _rows(1, asked)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
