@@ -69,6 +69,9 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 def discard(staged_table: DataFrame, part: str = "") -> None:
     """Delete a staged table that nothing reads any more, or one partition folder of it."""
+    name = getattr(staged_table, "_staged_as", None)  # of tables that the catalogue knows
+    if name and not part:
+        staged_table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     spark, path = staged_table.sparkSession, f"{staged_table._staged_at}/{part}".rstrip("/")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
