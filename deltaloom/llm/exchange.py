@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.kernels import encoded
-from deltaloom.session import shared_dir, ship_package, shuffles_dropped, staged
+from deltaloom.session import discard, shared_dir, ship_package, shuffles_dropped
 
 #: Bytes of text in a batch, bytes of text for each bucket of keys, and bytes of input for each task that reads batches.
 BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, MOST_TASKS = 2 << 20, 8 << 20, 48, 64 << 20, 1 << 20
@@ -83,6 +83,17 @@ def reading_tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), MOST_TASKS) if size < 1 << 60 else 1)
 
 
+def by_batch(rows: DataFrame, tasks: int) -> DataFrame:
+    """Store rows in a table bucketed by batch, so that all that is read by batch is read without an exchange."""
+    spark, name = rows.sparkSession, f"deltaloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged/{name}"
+    with shuffles_dropped(spark):
+        rows.write.option("path", path).option("compression", "uncompressed").bucketBy(tasks, "batch").saveAsTable(name)
+    out = spark.table(name)
+    out._staged_at, out._staged_as = path, name
+    return out
+
+
 class Batches:
     """A stored table of batches, a blob each, and the questions asked of them."""
 
@@ -93,11 +104,7 @@ class Batches:
 
     def store(self, batches: DataFrame) -> None:
         """Write batch and blob (and other columns) to a table of this name, bucketed by batch."""
-        self.name = f"deltaloom_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(self.spark)}/staged/{self.name}"
-        with shuffles_dropped(self.spark):
-            batches.write.option("path", self.path).option("compression", "uncompressed").bucketBy(self.tasks, "batch").saveAsTable(self.name)
-        self.table = self.spark.table(self.name)
+        self.table = by_batch(batches, self.tasks)
 
     def derived(self, fn: Callable[..., bytes], read: Callable, answers: tuple = ()) -> Batches:
         """Batches whose blobs fn(batch number, what a blob holds, arrays of answers) makes, and read reads."""
@@ -137,7 +144,7 @@ class Batches:
 
         return joined.mapInArrow(run, schema)
 
-    def ask(self, name: str, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64, how: str = "left") -> DataFrame:
+    def ask(self, question: Callable, reply: Callable, value: str, answer: str, answers: tuple = (), key_bits: int = 64, how: str = "left") -> DataFrame:
         """question(what a blob holds, arrays of answers) gives sorted keys below 2**key_bits and a value each;
         reply(keys, values) of a bucket's entries gives an answer each and up to TOTALS totals. The result is staged."""
         edges = self.edges(key_bits)
@@ -147,7 +154,7 @@ class Batches:
             if len(rows["batch"]):
                 yield pa.RecordBatch.from_pydict(rows)
 
-        return replied(self.map(asked, QUESTION, answers, how), name, reply, value, answer)
+        return replied(self.map(asked, QUESTION, answers, how), self.tasks, reply, value, answer)
 
     def edges(self, key_bits: int) -> np.ndarray:
         """The least key of each bucket but the first."""
@@ -155,9 +162,7 @@ class Batches:
 
     def close(self) -> None:
         """Drop the table; only its results may be read from now on."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        discard(self.table)
 
 
 class Corpus(Batches):
@@ -208,8 +213,8 @@ def packed_question(number: int, keys: np.ndarray, values: np.ndarray, edges: np
     }
 
 
-def replied(questions: DataFrame, name: str, reply: Callable, value: str, answer: str) -> DataFrame:
-    """Each bucket's entries of all batches answered by one call of reply; staged."""
+def replied(questions: DataFrame, tasks: int, reply: Callable, value: str, answer: str) -> DataFrame:
+    """Each bucket's entries of all batches answered by one call of reply; stored by batch."""
     value_kind, answer_kind = np.dtype(eval_kind(value)), np.dtype(eval_kind(answer))
 
     def answered(group: pa.Table) -> pa.Table:
@@ -233,7 +238,7 @@ def replied(questions: DataFrame, name: str, reply: Callable, value: str, answer
         return out
 
     replies = questions.groupBy("bucket").applyInArrow(answered, "batch long, bucket long, n long, answer binary, " + ", ".join(f"t{k} double" for k in range(TOTALS)))
-    return staged(replies, name)
+    return by_batch(replies.repartition(tasks, "batch"), tasks)
 
 
 def release() -> None:

@@ -113,7 +113,7 @@ def _parities(keys: np.ndarray, doc: np.ndarray, n_docs: int) -> list[np.ndarray
 def _parts(corpus: Corpus, length: int, percent: int) -> DataFrame:
     """kind 0: doc_id, sig and n of each document; kind 1: sig, n, the columns of its prefix that other rows may
     share, and all columns, for each row that has such columns."""
-    answers = corpus.ask("frequency", lambda b: _ask_frequency(b, length), _magnitude, "u4", "u1", key_bits=KEY_BITS)
+    answers = corpus.ask(lambda b: _ask_frequency(b, length), _magnitude, "u4", "u1", key_bits=KEY_BITS)
 
     def rows(_: int, batch: Batch, magnitude: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, first = shingle_sets(batch.texts, length)

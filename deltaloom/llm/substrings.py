@@ -178,7 +178,7 @@ class RepeatedWindows:
             raise ValueError("the first level has to be shorter than length, and twice as long at least")
         self.length, self.first = length, first
         self.corpus = Corpus(docs)
-        self.level1 = self.corpus.ask("anchors", lambda b: _ask_anchors(b, length, first), _repeated, "u1", "u1", key_bits=ANCHOR_BITS)
+        self.level1 = self.corpus.ask(lambda b: _ask_anchors(b, length, first), _repeated, "u1", "u1", key_bits=ANCHOR_BITS)
 
         def ask(batch: Batch, a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words = words_of(batch.texts)
@@ -186,7 +186,7 @@ class RepeatedWindows:
             key, check, _ = windows(words, length, length)
             return _entries(batch, key[at], check[at], words.doc[at])[:2]
 
-        self.level2 = self.corpus.ask("windows", ask, _earlier, ENTRY, "u1", ((self.level1, "u1"),))
+        self.level2 = self.corpus.ask(ask, _earlier, ENTRY, "u1", ((self.level1, "u1"),))
         self.answers = ((self.level1, "u1"), (self.level2, "u1"))
 
     def removed(self) -> DataFrame:
@@ -230,7 +230,7 @@ class RepeatedWindows:
         return results[0].filter("kind = 2").drop("longest_repeat").join(final, ["batch", "bucket"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
 
     def _double(self, level: Batches, length: int, edges: np.ndarray) -> Batches:
-        answers = replied(level.table.filter("kind = 1").select("batch", "bucket", "n", "keys", "vals"), "answers", _earlier, ENTRY, "u1")
+        answers = replied(level.table.filter("kind = 1").select("batch", "bucket", "n", "keys", "vals"), level.tasks, _earlier, ENTRY, "u1")
         base, twice = self.length, 2 * length
 
         def next_level(number: int, held: dict[str, np.ndarray], answer: np.ndarray) -> Iterator[pa.RecordBatch]:
