@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.functions import columns, scalar
-from deltaloom.operators import dataflow, learning, relational, shapes
+from deltaloom.operators import dataflow, learning, more, relational, shapes
 from deltaloom.plans import tpch
 from deltaloom.sources import commands, external, formats
 from deltaloom.streaming import incremental, native, stateful
 from deltaloom.streaming import tpch as streamed_tpch
 
-SETS = [tpch.SET, relational.SET, scalar.SET, columns.SET, formats.SET, commands.SET, external.SET, dataflow.SET, shapes.SET, learning.SET, native.SET, stateful.SET, incremental.SET, streamed_tpch.SET]
+SETS = [tpch.SET, relational.SET, scalar.SET, columns.SET, formats.SET, commands.SET, external.SET, dataflow.SET, shapes.SET, learning.SET, more.SET, native.SET, stateful.SET, incremental.SET, streamed_tpch.SET]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +21,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for s in SETS for name, text in s.oracle.items()}
+    found = {name: text for s in SETS for name, text in s.oracle.items()}
+    return found | {"gr_page_rank": more.PAGE_RANK_SQL, "gr_label_propagation": more.LABELS_SQL}
