@@ -32,6 +32,7 @@ def test_an_error_inside_the_optional_subpackage_is_an_error(tmp_path, monkeypat
     monkeypatch.undo()
     if importlib.util.find_spec("deltaloom.llm") is None:
         return
+    monkeypatch.delattr(sys.modules["deltaloom.llm"], "bpe")
     monkeypatch.setitem(sys.modules, "deltaloom.llm.bpe", None)  # as if a module inside were missing
     monkeypatch.delitem(sys.modules, "deltaloom.llm.registry", raising=False)
     with pytest.raises(ImportError):
