@@ -10,10 +10,12 @@ from deltaloom.functions import columns, scalar
 from deltaloom.operators import dataflow, learning, more, relational, shapes
 from deltaloom.plans import tpch
 from deltaloom.sources import commands, external, formats
+from deltaloom.sources import more as more_sources
 from deltaloom.streaming import incremental, native, stateful
+from deltaloom.streaming import more as more_streams
 from deltaloom.streaming import tpch as streamed_tpch
 
-SETS = [tpch.SET, relational.SET, scalar.SET, columns.SET, formats.SET, commands.SET, external.SET, dataflow.SET, shapes.SET, learning.SET, more.SET, native.SET, stateful.SET, incremental.SET, streamed_tpch.SET]
+SETS = [tpch.SET, relational.SET, scalar.SET, columns.SET, formats.SET, commands.SET, external.SET, more_sources.SET, dataflow.SET, shapes.SET, learning.SET, more.SET, native.SET, stateful.SET, more_streams.SET, incremental.SET, streamed_tpch.SET]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
