@@ -48,7 +48,10 @@ def blob_of(text: Column) -> Column:
 
 
 class SecretLedger:
-    """A ledger in one folder that driver and executors share; each ingest appends to it in one commit."""
+    """A ledger in one folder that driver and executors share; each ingest appends to it.
+
+    An append that was cut off and made again, or two ingests at a time, may leave a pair of blob and rule version twice;
+    both rows say the same, and reading folds them."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = RULES):
         self.spark, self.rules = spark, rules
@@ -129,7 +132,7 @@ class SecretLedger:
             .filter(present & (F.size("spans") > 0))
             .withColumn("rank", rank[F.col("rule")])
             .groupBy("blob")
-            .agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("rule").alias("kind"))))).alias("spans"))
+            .agg(F.flatten(F.collect_set(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("rule").alias("kind"))))).alias("spans"))
             .select("blob", F.sort_array("spans").alias("spans"))
         )
 
@@ -160,17 +163,17 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """documents with every secret replaced and n_chars counted anew where that changed the text."""
-    columns = docs.columns
-    keyed = docs.withColumn("blob", blob_of(F.col("text")))
+    """documents with every secret replaced and n_chars counted anew where that changed the text; columns of any other
+    name stay as they are."""
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name of a column can clash with the ledger's
+    text = F.col(own["text"])
+    keyed = docs.toDF(*own.values()).withColumn("blob", blob_of(text))
     ledger = SecretLedger(docs.sparkSession)
-    ledger.ingest(keyed.select("blob", F.coalesce("text", F.lit("")).alias("text")))
-    found = ledger.by_path(keyed)
-    text = redact(F.col("text"), F.col("spans"))
+    ledger.ingest(keyed.select("blob", F.coalesce(text, F.lit("")).alias("text")))
+    out = ledger.by_path(keyed).withColumn("_clean", redact(text, F.col("spans")))
     touched = F.size("spans") > 0
-    out = found.withColumn("clean", text)
-    kept = [F.when(touched, F.col("clean")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(touched, F.char_length("clean").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    return out.select(*kept)
+    now = {"text": F.when(touched, F.col("_clean")).otherwise(text), "n_chars": F.when(touched, F.char_length("_clean").cast("long")).otherwise(F.col(own.get("n_chars", own["text"])))}
+    return out.select(*[now.get(c, F.col(x)).alias(c) for c, x in own.items()])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

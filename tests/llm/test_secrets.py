@@ -74,3 +74,21 @@ def test_redaction_replaces_each_stretch_once(spark):
         # spans that only touch are stretches of their own, but none touch in these texts
         kept = "".join("\0" if i in hidden else c for i, c in enumerate(text))
         assert out == re.sub("\0+", secrets.REDACTED, kept)
+
+
+def test_a_ledger_written_twice_counts_once(spark):
+    docs = documents(spark, ["password = hunter2222 and token=abcdefgh", None, "clean"])
+    texts = docs.select(secrets.blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    ledger = secrets.SecretLedger(spark)
+    ledger.ingest(texts)
+    once = rows(ledger.findings())
+    ledger.rows().write.mode("append").parquet(ledger.path)
+    assert rows(ledger.findings()) == once and len(once) == 1
+
+
+def test_redaction_bears_clashing_columns(spark):
+    text = "my password = hunter2222 here"
+    docs = documents(spark, [text, None, ""], [1, 2, None]).select("*", *[F.lit(7).alias(c) for c in ("blob", "spans", "clean", "_clean", "rank", "rule", "version", "_c0")])
+    out = sorted((tuple(r) for r in secrets.redact_documents(docs).collect()), key=repr)
+    assert secrets.redact_documents(docs).columns == docs.columns
+    assert [r[1] for r in out if r[0] == 1] == [f"my {secrets.REDACTED} here"] and all(set(r[5:]) == {7} for r in out)
