@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.session import shared_dir, ship_package
+from deltaloom.session import shared_dir, ship_package, staged
 from deltaloom.sources.tables import table
 
 #: Words in the lexicon, and words that one task counts at a time.
@@ -285,7 +285,8 @@ def summary_cut(counts: Counter, most: int) -> None:
 
 
 def frequent_words(texts: DataFrame, path: str, most: int = LEXICON_WORDS, summary: int = SUMMARY_WORDS) -> list[str]:
-    """The most frequent words over all texts. What a task reports and what the driver gets is bounded."""
+    """The most frequent words over all texts. What a task reports is bounded, and the driver gets the words of the
+    power of two that has the last one and of those above."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
@@ -304,8 +305,14 @@ def frequent_words(texts: DataFrame, path: str, most: int = LEXICON_WORDS, summa
         summary_cut(pieces, summary)
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["word", "n"])
 
-    found = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+    found = staged(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    powers = found.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).collect()  # 64 at most
+    enough, least = 0, 0
+    for power, words in sorted(powers, reverse=True):
+        enough, least = enough + words, 1 << power
+        if enough >= most:
+            break
+    return [r["word"] for r in found.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def publish(spark: SparkSession, content: bytes) -> str:
