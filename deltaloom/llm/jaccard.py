@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm.components import components
-from deltaloom.llm.exchange import Batch, Corpus, groups, pack, unpack
+from deltaloom.llm.exchange import Batch, Corpus, groups, pack, release, unpack
 from deltaloom.llm.kernels import U, mix, words_of
 from deltaloom.session import shared_dir, staged
 from deltaloom.sources.tables import table
@@ -35,6 +35,8 @@ from deltaloom.sources.tables import table
 #: Words in a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 3, 90
 KEY_BITS = 48
+#: Pairs whose columns a worker holds at once.
+OVERLAP_ROWS = 256
 
 
 def shingle_sets(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +158,8 @@ def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = lambda raw, n: np.cumsum(unpack(raw, n, U), dtype=U)
         for whole in found:
-            for at in range(0, len(whole), 1000):
-                part = whole.slice(at, 1000).to_pydict()
+            for at in range(0, len(whole), OVERLAP_ROWS):
+                part = whole.slice(at, OVERLAP_ROWS).to_pydict()
                 block: dict[bytes, list[int]] = {}
                 for i, a in enumerate(part["a"]):
                     block.setdefault(a, []).append(i)
@@ -172,6 +174,8 @@ def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
                     enough = 100 * overlap >= percent * (len(row) + sizes - overlap)
                     linked += [i for i, e in zip(mine, enough.tolist(), strict=True) if e]
                 yield pa.RecordBatch.from_pydict({"u": pa.array([part["a"][i] for i in linked], pa.binary()), "v": pa.array([part["b"][i] for i in linked], pa.binary())})
+                del part, block
+                release()
 
     return pairs.select("a", "b", "n_a", "n_b", "keys_a", "keys_b").mapInArrow(count, "u binary, v binary")
 
