@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from deltaloom.plans.sqlset import SqlSet
 from deltaloom.sources.formats import jdbc, scratch
 from deltaloom.sources.tables import table
-from deltaloom.streaming.native import finished
 
 SET = SqlSet()
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -212,9 +211,9 @@ def ds_python_stream(spark, sf_dir):
 
 @SET.frame("st_noop_sink", "SELECT count(*) AS n FROM events")
 def st_noop_sink(spark, sf_dir):
-    """A sink that takes rows into a batch writer; the count comes from the batches."""
+    """A sink that takes all rows and keeps none; the count is what it reports to have taken."""
     from deltaloom.streaming.native import events
 
-    seen = []
-    finished(events(spark, sf_dir), lambda batch, number: seen.append(batch.count()))
-    return spark.createDataFrame([(sum(seen),)], "n long")
+    q = events(spark, sf_dir).writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", scratch(spark, "noop")).start()
+    q.awaitTermination()
+    return spark.createDataFrame([(sum(p["numInputRows"] for p in q.recentProgress),)], "n long")
