@@ -315,7 +315,7 @@ def inc_q17(spark, sf_dir):
     with_bar, total = Join("bar", ["l_partkey"]), Sums("total", [], {"s": F.col("l_extendedprice")}, {"n": F.col("n"), "s": F.round("s", 2)})
 
     def step(at: At, delta: DataFrame) -> DataFrame:
-        mine = delta.select("l_partkey", "l_quantity", "l_extendedprice", W).join(part, "l_partkey")
+        mine = at.keep("mine", delta.select("l_partkey", "l_quantity", "l_extendedprice", W).join(part, "l_partkey"))
         return total.step(at, with_bar.step(at, mine, average.step(at, mine)).filter("l_quantity < bar"))
 
     return maintained(spark, [(d,) for d in changes(_lines(spark, sf_dir), "l_orderkey")], step)

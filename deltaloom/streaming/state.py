@@ -51,6 +51,14 @@ class At:
     root: str
     batch: int
 
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows that several operators of a step read, made once; those of the batch before go."""
+        path = f"{self.root}/kept/{name}"
+        with shuffles_dropped(self.spark):
+            rows.write.mode("overwrite").parquet(f"{path}/{self.batch}")
+        Folder(self.spark, path).delete(str(self.batch - 1))
+        return self.spark.read.schema(rows.schema).parquet(f"{path}/{self.batch}")
+
 
 class Folder:
     """Complete tables in a folder of any file system that Spark reaches."""
