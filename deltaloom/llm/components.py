@@ -1,7 +1,10 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Each step takes the least neighbour of every node by a partial aggregate and joins it back, so no node's links
-come together in one task, and tables stay in the shared folder.
+Each step takes the least neighbour of every node by a partial aggregate and joins it back; that join brings a node's
+links to one partition, which adaptive execution splits where it is skewed. Tables stay in the shared folder.
+
+Defined results: repeated links and links of a node with itself count for nothing more; a node without links to others has
+no row; links with a null are to be left out by the caller; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

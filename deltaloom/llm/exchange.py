@@ -5,6 +5,10 @@ batch's distinct keys (64-bit hashes, sorted) with a value each; ranges of keys
 all batches' entries for its range and answers every entry; and the answers go back to the batches, by a join that
 moves only the answers. A key enters a bucket at most once a batch however often it occurs, so a key that a third
 of all rows hold doesn't make a hot group, and sorted keys pack into a few bytes.
+
+Defined results: a null text counts as empty, and a doc_id may be null, which a flag tells; rows of any number with one
+doc_id stay rows of their own; a text of any length is in one batch; an empty table has no batches and no answers; columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
