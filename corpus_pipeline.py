@@ -41,10 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Each text is judged by itself, whatever the doc_id of its row."""
-    key = F.sha2(F.col("text").cast("binary"), 256)
-    found = decontamination.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaked = staged(found.select(F.col("doc_id").alias("_text")).distinct(), "leaked")
-    return docs.withColumn("_text", key).join(leaked, "_text", "left_anti").select(*docs.columns)
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,18 +181,45 @@ def matches(texts: list[bytes], blocks: list[Block]) -> list[tuple]:
     return out
 
 
+def _scans(docs: DataFrame, benchmark: DataFrame, percent: int, block_bytes: int) -> Iterator[list[Block]]:
+    """The blocks of each scan, one at least."""
+    ship_package(docs.sparkSession)
+    rows = (tuple(r) for r in benchmark.filter("text IS NOT NULL").select("item_id", "text").toLocalIterator())
+    blocks = list(blocks_of(rows, percent, block_bytes))
+    for at in range(0, max(1, len(blocks)), BLOCKS_A_SCAN):
+        yield blocks[at : at + BLOCKS_A_SCAN]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item. Rows are judged where they lie, so none moves."""
+    at = docs.columns.index("text")
+    for blocks in _scans(docs, benchmark, percent, block_bytes):
+        docs = docs.mapInArrow(_kept(blocks, at), docs.schema)
+    return docs
+
+
+def _kept(blocks: list[Block], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), 256):
+                part = whole.slice(first, 256)
+                texts = part.column(at)
+                keep = np.ones(len(part), bool)
+                keep[[f[0] for f in matches([normal(t) for t in texts.to_pylist()], blocks)]] = False
+                yield part.filter(pa.array(keep | ~np.array(texts.is_valid().to_numpy(zero_copy_only=False), bool)))
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, edits and match_end (bytes of the normalized text): a row for each document and item in it.
 
     The driver holds the items, and a task those of one scan: BLOCKS_A_SCAN * block_bytes, if no item is longer."""
-    ship_package(docs.sparkSession)
     ids = benchmark.schema["item_id"].dataType
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {ids.simpleString()}, edits int, match_end long"
-    rows = (tuple(r) for r in benchmark.filter("text IS NOT NULL").select("item_id", "text").toLocalIterator())
-    blocks = list(blocks_of(rows, percent, block_bytes))
     out = None
-    for at in range(0, max(1, len(blocks)), BLOCKS_A_SCAN):
-        found = docs.select("doc_id", "text").mapInArrow(_scan(blocks[at : at + BLOCKS_A_SCAN], to_arrow_type(ids)), schema)
+    for blocks in _scans(docs, benchmark, percent, block_bytes):
+        found = docs.select("doc_id", "text").mapInArrow(_scan(blocks, to_arrow_type(ids)), schema)
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm.components import components
 from deltaloom.llm.exchange import Batch, Corpus, groups, pack, release, unpack
 from deltaloom.llm.kernels import U, mix, words_of
-from deltaloom.session import shared_dir, staged
+from deltaloom.session import discard, shared_dir, staged
 from deltaloom.sources.tables import table
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -148,7 +148,10 @@ def _parts(corpus: Corpus, length: int, percent: int) -> DataFrame:
         )
 
     schema = "kind int, doc_id long, sig binary, n long, " + "".join(f"{c} long, " for c in SIZES) + "prefix array<long>, keys binary"
-    return staged(corpus.map(rows, schema, ((answers, "u1"),)), "incidence", ["kind"])
+    out = staged(corpus.map(rows, schema, ((answers, "u1"),)), "incidence", ["kind"])
+    discard(answers)
+    corpus.close()
+    return out
 
 
 def _overlaps(pairs: DataFrame, percent: int) -> DataFrame:
@@ -193,11 +196,16 @@ def jaccard_components(docs: DataFrame, length: int = SHINGLE, percent: int = PE
         tasks, "sig"
     ).saveAsTable(sets_name)
     sets = spark.table(sets_name)
+    sets._staged_at, sets._staged_as = f"{shared_dir(spark)}/staged/{sets_name}", sets_name
     entries = staged(incident.select(F.explode("prefix").alias("column"), "sig", "n", *SIZES).distinct().withColumn("comp", F.col("sig")), "entries")
+    discard(parts, "kind=1")
+    read = entries  # the staged table that entries are read from
     links, tested, labels, hubs_a_column = None, None, None, 1
     while True:
         open_columns = entries.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("alone", "n", "sig")).alias("hub")).filter("low <> high")
         entries = staged(entries.join(open_columns.select("column", "hub"), "column"), "open")
+        discard(read)
+        read = entries
         if not entries.take(1):
             break
         if hubs_a_column == 1:
@@ -205,6 +213,8 @@ def jaccard_components(docs: DataFrame, length: int = SHINGLE, percent: int = PE
         else:  # few columns are left, none with a large group of one component alone
             marked = entries.withColumn("is_hub", F.row_number().over(Window.partitionBy("column").orderBy("alone", "n", "sig")) <= hubs_a_column)
         marked = staged(marked.drop("hub"), "marked")
+        discard(read)
+        read = marked
         hubs = marked.filter("is_hub").select("column", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *[F.col(c).alias(f"hub_{c}") for c in SIZES])
         differ = "(alone + hub_alone + " + " + ".join(f"bit_count({c} ^ hub_{c})" for c in SIZES[1:]) + ")"
         near = f"sig <> hub AND comp <> hub_comp AND 100 * (n + hub_n - {differ}) >= {percent} * (n + hub_n + {differ})"
@@ -223,11 +233,14 @@ def jaccard_components(docs: DataFrame, length: int = SHINGLE, percent: int = PE
             labels = staged(components(links), "labels")
             entries = entries.drop("comp").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("column", "sig", "n", *SIZES, F.coalesce("component", "sig").alias("comp"))
         hubs_a_column *= 2
-    return _answer(corpus, members, labels, sets_name)
+    discard(read)
+    discard(sets)
+    out = _answer(members, labels)
+    discard(parts)
+    return out
 
 
-def _answer(corpus: Corpus, members: DataFrame, labels: DataFrame | None, sets_name: str) -> DataFrame:
-    spark = corpus.spark
+def _answer(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     least = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     if labels is not None:
         named = least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
@@ -236,10 +249,7 @@ def _answer(corpus: Corpus, members: DataFrame, labels: DataFrame | None, sets_n
     else:
         least = least.withColumnRenamed("least", "component_id")
     out = members.join(least, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = staged(out, "components")
-    corpus.close()
-    spark.sql(f"DROP TABLE IF EXISTS {sets_name}")
-    return out
+    return staged(out, "components")
 
 
 

@@ -203,6 +203,8 @@ def fit(labelled: list[tuple[str | None, int]]) -> Model:
     if scale[0] > 0:
         weights, bias = weights * scale[0], bias * scale[0] + shift
     model.weights, model.bias = weights, bias
+    del x, p, silent
+    release()  # what the driver's later steps need
     return model
 
 

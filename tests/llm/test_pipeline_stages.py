@@ -1,9 +1,13 @@
 """Stages of the pipeline against plain Python."""
 
+import os
 import random
 
 import corpus_pipeline as pipeline
-from helpers import documents
+from helpers import clashing, documents, saved
+
+from deltaloom.llm import jaccard
+from deltaloom.session import shared_dir
 
 
 def shingles(text, length=5):
@@ -68,3 +72,32 @@ def test_benchmark_passages_without_or_with_one_doc_id(spark, tmp_path):
     docs = documents(spark, [t for _, t in found], [i for i, _ in found]).repartition(3)
     want = [x for x in found if item not in (x[1] or "")]
     assert outcome(pipeline.without_benchmark, docs, spark, str(tmp_path)) == sorted(want, key=repr)
+
+
+def test_decontamination_moves_no_rows(spark, tmp_path):
+    """Each row is judged where it lies: texts go through no exchange, whatever the size of the list of leaked ones."""
+    item = " ".join(f"item{i}" for i in range(40))
+    docs = clashing(documents(spark, [f"before {item} after", "clean", None, "", item, "clean"], [1, 2, 3, None, None, 2]))
+    saved(spark.createDataFrame([(7, item), (8, None)], "item_id long, text string"), tmp_path, "benchmark")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipeline.without_benchmark(spark, docs, str(tmp_path))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(2, "clean"), (3, None), (None, ""), (2, "clean")], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_groups_leave_only_their_result_behind(spark, tmp_path):
+    """What the join staged is gone when its result is there, so later stages start with an empty folder."""
+    before = staged_names(spark)
+    texts = [" ".join(f"w{(i * 7 + j) % 50}" for j in range(60)) for i in range(20)] * 2 + ["alone", None]
+    out = jaccard.jaccard_components(documents(spark, texts), 5, 80)
+    left = {n.rsplit("-", 1)[0] for n in staged_names(spark) - before}
+    assert out.count() == 42 and not left & {"incidence", "entries", "open", "marked"} and not any(n.startswith("deltaloom_") for n in left)
+
+
+def staged_names(spark):
+    folder = f"{shared_dir(spark)}/staged".removeprefix("file://")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
