@@ -32,6 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaloom.llm.exchange import release
 from deltaloom.session import shared_dir, ship_package, staged
 from deltaloom.sources.tables import table
 
@@ -299,11 +300,14 @@ def frequent_words(texts: DataFrame, path: str, most: int = LEXICON_WORDS, summa
                     if len(counts) > 4 * summary:
                         summary_cut(counts, summary)
         pieces: Counter = Counter()
-        for chunk, n in counts.items():
+        while counts:
+            chunk, n = counts.popitem()
             for piece in SPLIT.findall(chunk):
                 pieces[piece] += n
         summary_cut(pieces, summary)
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["word", "n"])
+        del counts, pieces
+        release()
 
     found = staged(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     powers = found.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).collect()  # 64 at most
@@ -337,16 +341,14 @@ Entry = tuple[str, str, int]  # ids joined, tokens joined, number of ids
 
 
 class Encoder:
-    """The entries of the chunks and pieces that a worker meets."""
+    """The ids of the chunks and pieces that a worker meets, joined by spaces: a string each, which chunks that are one piece share with it."""
 
     def __init__(self, own: Vocabulary, lexicon: Lexicon):
         self.own, self.lexicon = own, lexicon
-        self.special = {w: self.entry([i]) for w, i in own.special.items()}
-        self.chunk: dict[str, Entry] = {}
-        self.piece: dict[str, Entry] = dict(self.special)
-
-    def entry(self, ids: list[int]) -> Entry:
-        return " ".join(map(str, ids)), " ".join(map(self.own.token.__getitem__, ids)), len(ids)
+        self.token = {str(i): t for i, t in own.token.items()}
+        self.special = {w: str(i) for w, i in own.special.items()}
+        self.chunk: dict[str, str] = {}
+        self.piece: dict[str, str] = dict(self.special)
 
     def learn_pieces(self, pieces: Iterable[str]) -> None:
         new = [w for w in pieces if w not in self.piece]
@@ -355,21 +357,28 @@ class Encoder:
         rest = [i for i, n in enumerate(numbers) if n < 0]
         merged = dict(zip(rest, self.own.merge_all([raw[i] for i in rest]), strict=True))
         for i, (w, n) in enumerate(zip(new, numbers, strict=True)):
-            self.piece[w] = self.entry(merged[i] if n < 0 else self.lexicon.ids_of(n))
+            self.piece[w] = " ".join(map(str, merged[i] if n < 0 else self.lexicon.ids_of(n)))
 
-    def encode(self, texts: list[str | None]) -> list[list[Entry]]:
+    def ids(self, texts: list[str | None]) -> list[str]:
+        """The ids of each text, joined by spaces."""
         if len(self.chunk) > KEPT_WORDS:
             self.chunk, self.piece = {}, dict(self.special)
         chunks = [self.own.chunks(t) if t else [] for t in texts]
         others = {i: self.own.pieces(t) for i, (c, t) in enumerate(zip(chunks, texts, strict=True)) if c is None}
         split = {c: SPLIT.findall(c) for c in {c for r in chunks if r for c in r} if c not in self.chunk}
         self.learn_pieces({p for x in (*split.values(), *others.values()) for p in x})
-        piece = self.piece
+        piece, chunk = self.piece, self.chunk
         for c, parts in split.items():
-            found = [piece[p] for p in parts]
-            self.chunk[c] = found[0] if len(found) == 1 else (" ".join([e[0] for e in found]), " ".join([e[1] for e in found]), sum([e[2] for e in found]))
-        chunk = self.chunk
-        return [[piece[p] for p in others[i]] if r is None else [chunk[c] for c in r] for i, r in enumerate(chunks)]
+            if len(parts) == 1:
+                chunk[parts[0]] = piece[parts[0]]
+            else:
+                chunk[c] = " ".join([piece[p] for p in parts])
+        return [" ".join([piece[p] for p in others[i]]) if r is None else " ".join([chunk[c] for c in r]) for i, r in enumerate(chunks)]
+
+    def encode(self, texts: list[str | None]) -> list[list[Entry]]:
+        """The entry of each text, or none where it has no ids."""
+        split = [(joined, joined.split()) for joined in self.ids(texts)]
+        return [[(joined, " ".join([self.token[i] for i in ids]), len(ids))] if ids else [] for joined, ids in split]
 
 
 def with_tokens(texts: DataFrame, path: str, lexicon: str, keep_ids: bool = False) -> DataFrame:
@@ -386,19 +395,20 @@ def with_tokens(texts: DataFrame, path: str, lexicon: str, keep_ids: bool = Fals
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                found = known.encode(batch.column(1).to_pylist())
-                ids = [" ".join([e[0] for e in r]) for r in found]
+                found = [r[0] if r else ("", "", 0) for r in known.encode(batch.column(1).to_pylist())]
                 columns = [
                     batch.column(0),
-                    pa.array([sum([e[2] for e in r]) for r in found], pa.int64()),
-                    pa.array(list(map(digest, ids)), pa.string()),
-                    pa.array([digest(" ".join([e[1] for e in r])) for r in found], pa.string()),
+                    pa.array([n for _, _, n in found], pa.int64()),
+                    pa.array([digest(ids) for ids, _, _ in found], pa.string()),
+                    pa.array([digest(tokens) for _, tokens, _ in found], pa.string()),
                 ]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.array([list(map(int, i.split())) for i in ids], pa.list_(pa.int32())))
+                    columns.append(pa.array([list(map(int, ids.split())) for ids, _, _ in found], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        del known
+        release()
 
     schema = f"`{key}` {texts.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return texts.mapInArrow(encode, schema)

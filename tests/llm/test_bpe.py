@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import tracemalloc
 
 from helpers import clashing, documents, rows, saved
 from hypothesis import given, settings
@@ -71,3 +73,19 @@ def test_any_text(text):
     found = encoder.encode([text])[0]
     assert " ".join(e[0] for e in found if e[2]) == " ".join(map(str, ids))
     assert bpe.decode(own, ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+def test_kept_words_are_small():
+    """A worker keeps what it met: a word that is one piece takes its own text, its ids and two places, no more."""
+    own = bpe.vocabulary(PATH)
+    encoder = bpe.Encoder(own, bpe.Lexicon(bpe.Lexicon.compiled({})))
+    encoder.encode(["warm up"])
+    letters = [chr(97 + i) for i in range(26)]
+    words = [a + b + c + d + "qzj" for a in letters[:8] for b in letters for c in letters for d in "aeio"]
+    text = " ".join(words)
+    tracemalloc.start()
+    encoder.encode([text])
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0] / len(words)
+    tracemalloc.stop()
+    assert len(encoder.chunk) > len(words) and kept < 200
