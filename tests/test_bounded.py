@@ -13,7 +13,7 @@ def orders(spark, sf, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize(("name", "setting"), [("join_spilling", "sortMergeJoinExec")])
+@pytest.mark.parametrize(("name", "setting"), [("join_spilling", "sortMergeJoinExec"), ("win_spilling", "windowExec")])
 def test_rows_spill_in_a_bounded_number_of_runs(spark, orders, monkeypatch, name, setting):
     settings = {}
     monkeypatch.setattr(more, "with_setting", lambda spark, given, run: settings.update(given) or run())
