@@ -2,8 +2,11 @@
 
 import pytest
 
+from deltaloom import catalog
 from deltaloom.operators import more
 
+QUERIES = catalog.queries()
+
 
 @pytest.fixture(scope="module")
 def orders(spark, sf, tmp_path_factory):
@@ -13,6 +16,10 @@ def orders(spark, sf, tmp_path_factory):
     return d
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("name", "setting"), [("join_spilling", "sortMergeJoinExec"), ("win_spilling", "windowExec")])
 def test_rows_spill_in_a_bounded_number_of_runs(spark, orders, monkeypatch, name, setting):
     settings = {}
@@ -21,3 +28,9 @@ def test_rows_spill_in_a_bounded_number_of_runs(spark, orders, monkeypatch, name
     rows = spark.read.parquet(f"{orders}/orders.parquet").count()
     assert rows / int(settings[f"spark.sql.{setting}.buffer.spill.threshold"]) <= 64
     assert settings[f"spark.sql.{setting}.buffer.in.memory.threshold"] == "1000"
+
+
+def test_no_sketch_is_kept_for_each_distinct_value(spark, sf):
+    """An aggregate over distinct values beside others groups all of them by these values."""
+    for x in plan(QUERIES["fc_agg_bounds"](spark, sf)).splitlines():
+        assert "l_orderkey" not in x.partition("keys=[")[2].partition("]")[0] or "approx" not in x
