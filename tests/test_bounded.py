@@ -34,3 +34,12 @@ def test_no_sketch_is_kept_for_each_distinct_value(spark, sf):
     """An aggregate over distinct values beside others groups all of them by these values."""
     for x in plan(QUERIES["fc_agg_bounds"](spark, sf)).splitlines():
         assert "l_orderkey" not in x.partition("keys=[")[2].partition("]")[0] or "approx" not in x
+
+
+def test_no_task_slides_a_frame_over_all_orders_of_a_status(spark, tmp_path):
+    rows = [(1, "F", 10.5), (2, "F", 1010.2), (3, "F", 1011.0), (4, "F", None), (5, "F", None), (6, None, 10.0), (7, "O", -3.5), (8, "F", 10.9)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["win_range_frame"](spark, str(tmp_path))
+    assert dict(map(tuple, df.collect())) == {1: 3, 8: 3, 2: 4, 3: 2, 4: 2, 5: 2, 6: 1, 7: 1}
+    inside = plan(df).partition("Window")[2]
+    assert "HashAggregate" in inside  # what goes into the window is a row for each distinct value
