@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltaloom.plans.sqlset import SqlSet
-from deltaloom.sources.tables import table
+from deltaloom.session import staged
+from deltaloom.sources.tables import parts_of, table
 
 SET = SqlSet()
 
@@ -69,14 +70,33 @@ def ml_ks_test(spark, sf_dir):
 
 @SET.frame("ml_min_hash_lsh")
 def ml_min_hash_lsh(spark, sf_dir):
-    """Pairs of parts whose name words differ by a Jaccard distance under 0.4, among those that share a hash."""
+    """Pairs of parts whose name words differ by a Jaccard distance under 0.4, among those that share a hash.
+
+    Parts of the same words are a class: classes are hashed and compared by their numbers and words alone, once each, and
+    pairs of classes give those of their parts, which grow with the square of a class."""
     from pyspark.ml.feature import HashingTF, MinHashLSH, Tokenizer
 
-    words = Tokenizer(inputCol="p_name", outputCol="w").transform(table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("p_name")))
-    x = HashingTF(inputCol="w", outputCol="x", binary=True, numFeatures=1 << 16).transform(words).select("p_partkey", "x")
-    model = MinHashLSH(inputCol="x", outputCol="h", numHashTables=4, seed=7).fit(x)
-    near = model.approxSimilarityJoin(x, x, 0.4, "d").filter("datasetA.p_partkey < datasetB.p_partkey")
-    return near.select(F.col("datasetA.p_partkey").alias("a"), F.col("datasetB.p_partkey").alias("b"), F.round("d", 6).alias("d"))
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("p_name"))
+    words = Tokenizer(inputCol="p_name", outputCol="w").transform(named.select("p_name").distinct())
+    x = HashingTF(inputCol="w", outputCol="x", binary=True, numFeatures=1 << 16).transform(words)
+    places = F.udf(lambda v: sorted(int(i) for i in v.indices), "array<int>")
+    texts = staged(x.select("p_name", "x", places("x").alias("i")), "texts")
+    classes = texts.groupBy("i").agg(F.min("p_name").alias("p_name"))
+    model = MinHashLSH(inputCol="x", outputCol="h", numHashTables=4, seed=7).fit(texts)
+    hashes = F.udf(lambda h: [float(v[0]) for v in h], "array<double>")
+    hashed = staged(model.transform(classes.join(texts.drop("i"), "p_name")).select(F.col("p_name").alias("c"), "i", hashes("h").alias("h")), "classes")
+    spread = hashed.select("c", "i", F.posexplode("h").alias("t", "v")).repartition(parts_of(hashed, 100), "t", "v")
+    a, b = (spread.select(F.col("c").alias(f"c{n}"), F.col("i").alias(f"i{n}"), "t", "v") for n in "ab")
+    both = F.size(F.array_intersect("ia", "ib"))
+    d = 1 - both / (F.size("ia") + F.size("ib") - both)
+    near = a.join(b, ["t", "v"]).filter("ca < cb").select("ca", "cb", d.alias("d")).filter("d < 0.4D").distinct()
+    near = near.unionByName(hashed.select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.lit(0.0).alias("d")))
+    class_of = texts.join(classes.withColumnRenamed("p_name", "c"), "i").select("p_name", "c")
+    parts = staged(named.join(class_of, "p_name").select("c", "p_partkey").distinct(), "members")
+    n = parts_of(parts, 20_000)  # a task's pairs are its parts times those of their classes
+    left, right = (parts.select(F.col("c").alias(f"c{x}"), F.col("p_partkey").alias(x)).repartition(n, f"c{x}") for x in "ab")
+    pairs = left.join(near, "ca").join(right, "cb").filter("ca <> cb AND a <> b OR a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("d", 6).alias("d"))
 
 
 @SET.frame("ml_prefix_span", "WITH s AS (SELECT DISTINCT user_id, event_type, ts, event_id FROM events), n AS (SELECT count(DISTINCT user_id) AS n FROM events), f AS (SELECT event_type AS p, count(DISTINCT user_id) AS freq FROM s GROUP BY 1 UNION ALL SELECT a.event_type || '>' || b.event_type, count(DISTINCT a.user_id) FROM s a JOIN s b ON a.user_id = b.user_id AND (a.ts, a.event_id) < (b.ts, b.event_id) GROUP BY 1) SELECT p AS pattern, freq FROM f, n WHERE freq >= ceil(0.5 * n)")

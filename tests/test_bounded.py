@@ -43,3 +43,19 @@ def test_no_task_slides_a_frame_over_all_orders_of_a_status(spark, tmp_path):
     assert dict(map(tuple, df.collect())) == {1: 3, 8: 3, 2: 4, 3: 2, 4: 2, 5: 2, 6: 1, 7: 1}
     inside = plan(df).partition("Window")[2]
     assert "HashAggregate" in inside  # what goes into the window is a row for each distinct value
+
+
+def test_copies_of_parts_are_compared_once(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import MinHashLSHModel
+
+    def compared(*_):
+        raise AssertionError("every part is compared with all others of its buckets")
+
+    monkeypatch.setattr(MinHashLSHModel, "approxSimilarityJoin", compared)
+    names = ["a b c d e f g h", "h g f e d c b a a", "a b c d e f g x", "q r s"]
+    rows = [(i, names[i % 4], None, None) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r["a"], r["b"]): r["d"] for r in QUERIES["ml_min_hash_lsh"](spark, str(tmp_path)).collect()}
+    same = {(a, b): 0.0 for a in range(40) for b in range(a + 1, 40) if {a % 4, b % 4} <= {0, 1} or a % 4 == b % 4}
+    near = {(a, b): round(1 - 7 / 9, 6) for a in range(40) for b in range(a + 1, 40) if (a % 4 in (0, 1) and b % 4 == 2) or (b % 4 in (0, 1) and a % 4 == 2)}
+    assert found == same | near
