@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+import zipfile
+from contextlib import closing
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.plans.sqlset import SqlSet
+from deltaloom.session import shared_dir
 from deltaloom.sources.formats import jdbc, scratch
 from deltaloom.sources.tables import table
 
@@ -109,13 +116,35 @@ def io_file_metadata(spark, sf_dir):
 def io_jdbc(spark, sf_dir):
     """A table written to a database and read back over four ranges of its key, the filter pushed into its queries.
 
-    The embedded database lives in this JVM; a cluster names a server that all executors reach."""
-    url = f"jdbc:derby:memory:deltaloom{uuid.uuid4().hex};create=true"
+    The embedded database belongs to one process: the driver makes it in the shared folder, loads what executors wrote
+    there, and packs it into an archive, which all executors read at once."""
+    where = unquote(urlparse(shared_dir(spark)).path)
+    if urlparse(shared_dir(spark)).scheme not in ("", "file"):
+        raise ValueError("an embedded database has to be in a folder of the file system")
+    name = f"deltaloom{uuid.uuid4().hex}"
+    os.makedirs(f"{where}/formats", exist_ok=True)
+    path = f"{where}/formats/{name}"
     driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("S_SUPPKEY"), F.col("s_name").alias("S_NAME"), F.col("s_acctbal").alias("S_ACCTBAL"))
-    s.write.format("jdbc").options(url=url, dbtable="SUPPLIER", createTableColumnTypes="S_NAME VARCHAR(64)", **driver).mode("append").save()
+    written = {"url": f"jdbc:derby:{path};create=true", "dbtable": "SUPPLIER", "createTableColumnTypes": "S_NAME VARCHAR(64)", **driver}
+    s.limit(0).write.format("jdbc").options(**written).mode("append").save()  # makes the table; no task opens the database
+    s.write.option("escape", '"').csv(f"file://{path}-rows")
+    properties = spark._jvm.java.util.Properties()
+    database = spark._jvm.org.apache.derby.jdbc.EmbeddedDriver()
+    with closing(database.connect(f"jdbc:derby:{path}", properties)) as connection:
+        for rows in sorted(Path(f"{path}-rows").glob("part-*")):
+            connection.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'SUPPLIER', '{rows}', NULL, NULL, 'UTF-8', 0)")
+    try:
+        database.connect(f"jdbc:derby:{path};shutdown=true", properties)
+    except Py4JJavaError as e:  # so Derby says that a database is closed
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    with zipfile.ZipFile(f"{path}.jar", "w", zipfile.ZIP_STORED) as z:
+        for p in sorted(Path(path).rglob("*")):
+            if p.is_file() and p.suffix != ".lck":
+                z.write(p, f"{name}/{p.relative_to(path)}")
     top = s.agg(F.max("S_SUPPKEY")).first()[0]
-    found = jdbc(spark, url, "SUPPLIER", partitionColumn="S_SUPPKEY", lowerBound="0", upperBound=str(top or 1), numPartitions="4", **driver)
+    found = jdbc(spark, f"jdbc:derby:jar:({path}.jar){name}", "SUPPLIER", partitionColumn="S_SUPPKEY", lowerBound="0", upperBound=str(top or 1), numPartitions="4", **driver)
     return found.filter("S_ACCTBAL > 0").select(F.col("S_SUPPKEY").alias("s_suppkey"), F.col("S_NAME").alias("s_name"), F.col("S_ACCTBAL").alias("s_acctbal"))
 
 
