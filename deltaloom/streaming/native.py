@@ -16,15 +16,22 @@ from deltaloom.sources.tables import table
 SET = SqlSet()
 
 
+#: Rows that a file of a split table has at most, about.
+ROWS = 500_000
+
+
 def split_stream(spark: SparkSession, df: DataFrame, files: int, order: str) -> DataFrame:
-    """A table as a stream of files in the order of a column, one file a micro-batch."""
+    """A table as a stream of so many micro-batches in the order of a column; each is a file, or of a large table several
+    of ROWS rows, as one task writes and reads a file."""
+    each = max(1, -(-df.count() // (files * ROWS)))
     path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     place = F.col(order).cast("double") if dict(df.dtypes)[order] != "timestamp" else F.unix_micros(order).cast("double")
     cuts = df.agg(F.percentile_approx(place, [i / files for i in range(1, files)]).alias("c")).first()["c"] or []
     edges = [float("-inf"), *cuts, float("inf")]
     for low, high in zip(edges, edges[1:], strict=False):  # one after the other: a stream takes files by age
-        df.filter((place > low) & (place <= high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+        part = df.filter((place > low) & (place <= high))
+        (part.coalesce(1) if each == 1 else part.repartition(each)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).option("latestFirst", "false").parquet(path)
 
 
 def finished(stream: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:

@@ -1,6 +1,7 @@
 """What tasks hold and read stays bounded as tables grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from deltaloom import catalog
 from deltaloom.operators import more
@@ -59,3 +60,14 @@ def test_copies_of_parts_are_compared_once(spark, tmp_path, monkeypatch):
     same = {(a, b): 0.0 for a in range(40) for b in range(a + 1, 40) if {a % 4, b % 4} <= {0, 1} or a % 4 == b % 4}
     near = {(a, b): round(1 - 7 / 9, 6) for a in range(40) for b in range(a + 1, 40) if (a % 4 in (0, 1) and b % 4 == 2) or (b % 4 in (0, 1) and a % 4 == 2)}
     assert found == same | near
+
+
+def test_a_batch_of_a_large_table_has_several_files(spark, sf, monkeypatch):
+    from deltaloom.streaming import native
+
+    monkeypatch.setattr(native, "ROWS", 100, raising=False)
+    df = spark.range(1200).select(F.col("id").cast("double").alias("x"))
+    batches = {}
+    native.finished(native.split_stream(spark, df, 4, "x"), lambda batch, i: batches.update({i: (batch.select(F.input_file_name()).distinct().count(), batch.agg(F.min("x"), F.max("x"), F.count("*")).first())}))
+    assert [n for n, _ in batches.values()] == [3] * 4
+    assert sum(r[2] for _, r in batches.values()) == 1200 and all(a[1] < b[0] for (_, a), (_, b) in zip(batches.values(), list(batches.values())[1:], strict=False))
