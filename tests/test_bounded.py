@@ -81,3 +81,10 @@ def test_the_console_collects_numbers_of_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, fn, schema, *a: given.append(fn) or was(self, fn, schema, *a))
     assert QUERIES["st_console"](spark, sf).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
     assert sum(len(x) for x in given[0](iter([pd.DataFrame({"event_id": range(1000)})]))) == 1
+
+
+def test_user_state_takes_counts_and_not_rows(spark, sf, monkeypatch):
+    taken, was = [], GroupedData.applyInPandasWithState
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, *a: taken.append(self._df.columns) or was(self, *a))
+    QUERIES["st_stateful"](spark, sf)
+    assert taken == [["user_id", "m"]]
