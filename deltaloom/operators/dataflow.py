@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.plans.sqlset import SqlSet
 from deltaloom.session import staged
-from deltaloom.sources.tables import table
+from deltaloom.sources.tables import dealt, parts_of, table
 
 SET = SqlSet()
 
@@ -93,7 +93,14 @@ def cogroup_in_pandas(spark, sf_dir):
 def edges(spark, sf_dir) -> DataFrame:
     """A two-sided graph: every part with each supplier that any order's line has it from, suppliers below zero."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.select(F.col("l_partkey").cast("long").alias("src"), (-1 - F.col("l_suppkey").cast("long")).alias("dst")).distinct()
+    return dealt(lines.select(F.col("l_partkey").cast("long").alias("src"), (-1 - F.col("l_suppkey").cast("long")).alias("dst")), "src", "dst").distinct()
+
+
+def both_ways(e: DataFrame) -> DataFrame:
+    """Edges and their reverse, staged; each round deals them anew, in partitions of a size that doesn't grow."""
+    once = staged(e, "edges")
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return staged(dealt(once.select(ends.alias("e")).select("e.*"), "src", "dst").distinct(), "edges")
 
 
 EDGES = "(SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, -1 - CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
@@ -108,15 +115,18 @@ def gr_degrees(spark, sf_dir):
 @SET.frame("gr_triangle_count", f"WITH e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM {EDGES} UNION SELECT src, src + 1 FROM {EDGES}) SELECT count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def gr_triangle_count(spark, sf_dir):
     e = edges(spark, sf_dir)
-    e = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).union(e.select("src", F.col("src") + 1)).distinct()
-    x, y, z = (e.select(F.col("a").alias(f"{n}a"), F.col("b").alias(f"{n}b")) for n in "xyz")
+    e = staged(dealt(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).union(e.select("src", F.col("src") + 1)), "a", "b").distinct(), "edges")
+    n = parts_of(e)
+    x, y, z = (e.select(F.col("a").alias(f"{x}a"), F.col("b").alias(f"{x}b")) for x in "xyz")
+    x, y = x.repartition(n, "xb"), y.repartition(n, "ya")
     return x.join(y, F.col("xb") == F.col("ya")).join(z, (F.col("za") == F.col("xa")) & (F.col("zb") == F.col("yb"))).agg(F.count("*").alias("n"))
 
 
 def _spread(e: DataFrame, state: DataFrame, step) -> DataFrame:
     """Pregel by joins: messages along edges, the least one wins, until no value changes."""
+    n = parts_of(e)
     while True:
-        sent = e.join(state, e.src == state.v).select(F.col("dst").alias("v"), step(F.col("x")).alias("x"))
+        sent = e.repartition(n, "src").join(state, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), step(F.col("x")).alias("x"))
         new = staged(state.unionByName(sent).groupBy("v").agg(F.min("x").alias("x")), "pregel")
         before, after = (s.agg(F.count("*"), F.sum("x")).first() for s in (state, new))
         if before == after:
@@ -127,7 +137,7 @@ def _spread(e: DataFrame, state: DataFrame, step) -> DataFrame:
 @SET.frame("gr_connected_components", f"WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r AS (SELECT src AS v, src AS x FROM e UNION SELECT e.dst, r.x FROM r JOIN e ON e.src = r.v) SELECT v, min(x) AS x FROM r GROUP BY v")
 def gr_connected_components(spark, sf_dir):
     e = edges(spark, sf_dir)
-    both = staged(e.union(e.select("dst", "src")).distinct(), "edges")
+    both = both_ways(e)
     return _spread(both, both.select(F.col("src").alias("v"), F.col("src").alias("x")).distinct(), lambda x: x)
 
 
@@ -135,7 +145,7 @@ def gr_connected_components(spark, sf_dir):
 @SET.frame("gr_shortest_paths")
 def gr_shortest_paths(spark, sf_dir):
     e = edges(spark, sf_dir)
-    both = staged(e.union(e.select("dst", "src")).distinct(), "edges")
+    both = both_ways(e)
     return _spread(both, spark.range(1, 2).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("x")), lambda x: x + 1)
 
 
@@ -153,10 +163,12 @@ def gr_page_rank(spark, sf_dir):
 @SET.frame("gr_label_propagation")
 def gr_label_propagation(spark, sf_dir):
     e = edges(spark, sf_dir)
-    both = staged(e.union(e.select("dst", "src")).distinct(), "edges")
+    both = both_ways(e)
     labels = both.select(F.col("src").alias("v"), F.col("src").alias("x")).distinct()
+    n = parts_of(both)
     for _ in range(4):
-        votes = both.join(labels, both.src == labels.v).groupBy("dst", "x").agg(F.count("*").alias("n"))
+        sent = both.repartition(n, "src").join(labels, F.col("src") == F.col("v")).select("dst", "x")
+        votes = sent.repartition(n, "dst").groupBy("dst", "x").agg(F.count("*").alias("n"))
         labels = staged(votes.groupBy(F.col("dst").alias("v")).agg(F.max(F.struct("n", F.negative("x").alias("m"))).alias("b")).select("v", F.negative("b.m").alias("x")), "labels")
     return labels
 

@@ -95,3 +95,12 @@ def test_costly_expressions_run_in_many_tasks(spark, orders, tmp_path):
     part = spark.range(200_000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'SMALL' AS p_type")
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert QUERIES["fc_xpath"](spark, str(tmp_path)).rdd.getNumPartitions() >= 10
+
+
+def test_edges_are_dealt_by_their_number(spark, tmp_path):
+    """The session's number of partitions (4 here) doesn't decide how many edges a task holds."""
+    from deltaloom.operators import dataflow
+
+    spark.range(2_000_000).selectExpr("id % 1000 AS l_partkey", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert dataflow.edges(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+    assert {r["degree"] for r in QUERIES["gr_degrees"](spark, str(tmp_path)).collect()} == {7, 1000}
