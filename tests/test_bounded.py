@@ -104,3 +104,10 @@ def test_edges_are_dealt_by_their_number(spark, tmp_path):
     spark.range(2_000_000).selectExpr("id % 1000 AS l_partkey", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert dataflow.edges(spark, str(tmp_path)).rdd.getNumPartitions() == 10
     assert {r["degree"] for r in QUERIES["gr_degrees"](spark, str(tmp_path)).collect()} == {7, 1000}
+
+
+def test_a_user_aggregate_takes_a_flag_in_blocks(spark, tmp_path):
+    rows = spark.range(600_000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 9 AS l_partkey", "'R' AS l_returnflag", "CAST(id % 50 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["udaf_in_sql"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [("R", 24.5, 599999.0)] and "block" in plan(df)
