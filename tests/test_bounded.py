@@ -111,3 +111,15 @@ def test_a_user_aggregate_takes_a_flag_in_blocks(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     df = QUERIES["udaf_in_sql"](spark, str(tmp_path))
     assert [tuple(r) for r in df.collect()] == [("R", 24.5, 599999.0)] and "block" in plan(df)
+
+
+def test_percentiles_of_values_that_no_task_holds(spark):
+    from deltaloom.operators import relational
+
+    df = spark.createDataFrame([("a", float(x)) for x in range(101)] + [("b", 1.0), ("b", 2.0), ("b", 2.0), ("c", None), (None, 5.0)], "k string, x double")
+    found = {r["k"]: (r["m"], r["q"]) for r in relational.percentiles(df, "k", "x", {"m": 0.5, "q": 0.9}).collect()}
+    assert found == {r["k"]: (r["m"], r["q"]) for r in df.groupBy("k").agg(F.percentile("x", 0.5).alias("m"), F.percentile("x", 0.9).alias("q")).collect()}
+
+
+def test_no_partial_aggregate_holds_the_values_of_a_flag(spark, sf):
+    assert "percentile(" not in plan(QUERIES["agg_percentile"](spark, sf))
