@@ -132,13 +132,14 @@ def gr_edge_partitions(spark, sf_dir):
 
 
 def _reach(e: DataFrame, state: DataFrame) -> DataFrame:
-    """The greatest label that reaches each vertex along edges; state: v, x."""
+    """The greatest label that reaches each vertex along edges; state: v, x. Only vertices whose label has changed send it."""
+    state = state.select("v", "x", F.lit(True).alias("moved"))
     while True:
-        sent = e.join(state, e.src == state.v).select(F.col("dst").alias("v"), "x")
-        new = staged(state.unionByName(sent).groupBy("v").agg(F.max("x").alias("x")), "reach")
-        if new.agg(F.sum("x")).first() == state.agg(F.sum("x")).first():
-            return new
-        state = new
+        sent = e.join(state.filter("moved"), F.col("src") == F.col("v")).select(F.col("dst").alias("v"), "x", F.lit(None).cast("long").alias("was"))
+        both = state.select("v", "x", F.col("x").alias("was")).unionByName(sent).groupBy("v").agg(F.max("x").alias("x"), F.max("was").alias("was"))
+        state = staged(both.select("v", "x", (F.col("was").isNull() | (F.col("x") > F.col("was"))).alias("moved")), "reach")
+        if not state.filter("moved").take(1):
+            return state.drop("moved")
 
 
 def strongly_connected(e: DataFrame) -> DataFrame:
@@ -153,14 +154,12 @@ def strongly_connected(e: DataFrame) -> DataFrame:
     while not left.isEmpty():
         colour = _reach(e, left.select("v", F.col("v").alias("x")))
         own = e.join(colour.select(F.col("v").alias("src"), F.col("x").alias("a")), "src").join(colour.select(F.col("v").alias("dst"), F.col("x").alias("b")), "dst").filter("a = b")
-        back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        mine = colour.filter("v = x")
-        while True:
-            sent = back.join(mine, back.src == mine.v).select(F.col("dst").alias("v"), "x")
-            grown = staged(mine.unionByName(sent).distinct(), "component")
-            if grown.count() == mine.count():
-                break
-            mine = grown
+        back = staged(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "own")
+        mine = fresh = colour.filter("v = x")
+        while fresh.take(1):  # those that came last go on
+            sent = back.join(fresh, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), "x").distinct()
+            fresh = staged(sent.join(mine, ["v", "x"], "left_anti"), "component")
+            mine = mine.unionByName(fresh)
         mine = staged(mine, "component")
         found = mine if found is None else found.unionByName(mine)
         left = staged(left.join(mine, "v", "left_anti"), "vertices")

@@ -123,3 +123,15 @@ def test_percentiles_of_values_that_no_task_holds(spark):
 
 def test_no_partial_aggregate_holds_the_values_of_a_flag(spark, sf):
     assert "percentile(" not in plan(QUERIES["agg_percentile"](spark, sf))
+
+
+def test_only_vertices_that_changed_send_their_label(spark, monkeypatch):
+    from deltaloom.operators import shapes
+
+    rounds, was = [], shapes.staged
+    monkeypatch.setattr(shapes, "staged", lambda df, name, *a: rounds.append(out := was(df, name, *a)) or out)
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(9, 0)], "src long, dst long")
+    start = spark.createDataFrame([(i, i) for i in (*range(7), 9)], "v long, x long")
+    found = {r["v"]: r["x"] for r in shapes._reach(e, start).collect()}
+    assert found == {i: 9 for i in (*range(7), 9)}
+    assert [df.filter("moved").count() for df in rounds] == [1] * 7 + [0]
